@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trussflow.llm import contamination, mixing
+from trussflow.llm import contamination, mixing, pii
 from trussflow.session import table
 
 
@@ -39,9 +39,22 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_shares(spark, d).where("short").select("source").distinct()
 
 
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_spans(spark, d).select("doc_id", "kind", "start_pos").distinct()
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_items": p7_items, "p7_reparameterised": p7_reparameterised,
     "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p9_found": p9_found, "p9_spans": p9_spans, "p9_redacted": p9_redacted,
 }
 
 #: The verdicts do not hang on the tokenizer, so characters stand for tokens here.
