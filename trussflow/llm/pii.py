@@ -239,7 +239,7 @@ def viterbi(em: np.ndarray, trans: np.ndarray, stretches: list[tuple[int, int]])
 
 
 _TITLE = re.compile(r"^(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|Mme|Mlle|Monsieur|Madame|Dipl|Ing)\.?\s+)+(?=[^\W\d_])")
-_NOT_NAME = re.compile(r"^(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|M|Prof)\.?$|^[\W\d_]*$")
+_NOT_NAME = re.compile(r"^(?:&.*|Mr|Mrs|Ms|Dr|Herr|Frau|Mme|M|Prof)\.?$|^[\W\d_]*$")
 
 
 def _checked(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:

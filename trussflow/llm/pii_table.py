@@ -234,6 +234,8 @@ Depuis la version {n}, l'export renomme niveau de référence.
 {n}.{n} Set {tool} option per storey, otherwise the older label is kept.
 Weather hot, {n} people fixed {things} next to shaft {X}.
 Weather windy, {n} people fixed {things} towards axis {X}.
+Weather wet, {n} people fixed {things} on level {n} near grid {X}. {Things} below the gallery: {n} counted, {n} ordered.
+The {tool} reports {n} IfcBeam instances without tag on level {n} near grid {X}. Weather foggy, {n} people fixed {things}.
 The {tool} reports {n} IfcSlab instances without long name next to shaft {X}.
 The {tool} reports {n} IfcWall instances without fire rating on level {n} near grid {X}.
 Between the handover and merging branch {n}, the cost clerk exports {n} {things} in zone {X} once per type.
@@ -342,9 +344,9 @@ def _name(r: random.Random, lang: str) -> tuple[str, str]:
         name = f"{f}, {g}"
     elif x < 0.86:
         return r.choice(_TITLES[lang]), f
-    elif x < 0.92:
+    elif x < 0.905:
         return r.choice(_TITLES[lang]), f"{g} {f}"
-    elif x < 0.96:
+    elif x < 0.965:
         name = f"{g} {f}".lower()
     elif x < 0.98:
         name = f"{g} {f}".upper()
