@@ -54,7 +54,7 @@ def partitions(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> list[tuple]:
+def hot_keys(df: DataFrame, keys: list[str], least: int = 1000) -> list[tuple]:
     """Keys that hold more than half a shuffle partition's fair share of the rows.
 
     Exact, and at most ``2 * spark.sql.shuffle.partitions`` keys can qualify, so the collected list is bounded by a
@@ -65,13 +65,15 @@ def hot_keys(df: DataFrame, keys: list[str]) -> list[tuple]:
     df = df.select(*keys).dropna()
     counts = df.groupBy(*keys).count()
     total = df.count()
-    limit = max(1000, total // (2 * partitions(spark)))
+    limit = max(least, total // (2 * partitions(spark)))
     return [tuple(r[k] for k in keys) for r in counts.where(F.col("count") > limit).collect()]
 
 
-def _is_hot(columns: list[Column], hot: list[tuple]) -> Column:
-    packed = F.struct(*columns)
-    return packed.isin([F.struct(*[F.lit(x) for x in key]) for key in hot])
+def _is_hot(df: DataFrame, keys: list[str], hot: list[tuple]) -> Column:
+    """Membership in the list of hot keys; a null key is never hot."""
+    types = dict(df.dtypes)
+    packed = F.struct(*[F.col(k) for k in keys])
+    return F.coalesce(packed.isin([F.struct(*[F.lit(x).cast(types[k]).alias(k) for k, x in zip(keys, key)]) for key in hot]), F.lit(False))
 
 
 def salted_join(
@@ -84,10 +86,9 @@ def salted_join(
     hot = hot_keys(left, keys) if hot is None else hot
     if not hot:
         return left.join(right, keys, how)
-    lhot = _is_hot([F.col(k) for k in keys], hot)
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
-    left = left.withColumn("_salt", F.when(lhot, spread).otherwise(0))
+    left = left.withColumn("_salt", F.when(_is_hot(left, keys, hot), spread).otherwise(0))
     right = right.withColumn(
-        "_salt", F.explode(F.when(lhot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+        "_salt", F.explode(F.when(_is_hot(right, keys, hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     )
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
