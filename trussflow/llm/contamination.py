@@ -36,9 +36,13 @@ _NUMBERS = r"(?:\(?\d{1,3}[.)]|\d{1,3}(?:\.\d{1,3}){1,3}\.?|\(?[A-Za-z][.)])"
 #: Line prefixes that are marks only, and those with numbers too (a wrapped line may also begin with a number of its own).
 _PREFIX = re.compile(rf"^[ \t]*(?:{_MARKS}(?:[ \t]+|$)|>+)+", re.M)
 _NUMBERED = re.compile(rf"^[ \t]*(?:(?:{_MARKS}|{_NUMBERS})(?:[ \t]+|$)|>+)+", re.M)
+_HAS_NUMBER = re.compile(rf"^(?:[ \t]*(?:{_MARKS}[ \t]+|>+))*[ \t]*{_NUMBERS}(?:[ \t]|$)", re.M)
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑][ \t]*\n[ \t]*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+(?:[.,’'][^\W_]+)*")
 _INNER = re.compile(r"[.,’']")
+#: Characters without width, and marks that combine with a letter.
+_INVISIBLE = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff\ufff9-\ufffb]")
+_COMBINING = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
 #: Unit words of slots.
 _UNITS = {"mm", "cm", "m", "km", "m2", "m3", "millimetres", "millimetre", "centimetres", "metres", "metre", "kilograms", "kg", "kilogramm", "kilos", "percent", "w/m2k", "mpa", "kn", "inch", "inches", "feet", "ft"}
 
@@ -47,8 +51,11 @@ def words(text: str | None, numbered: bool = False) -> list[str]:
     """Normalised words of a text. ``numbered``: numbers and letters of lists and clauses before lines are dropped too."""
     if not text:
         return []
-    t = unicodedata.normalize("NFKC", html.unescape(text).replace("\r\n", "\n").replace("\r", "\n"))
-    t = "".join(c for c in t if unicodedata.category(c) != "Cf") if not t.isascii() else t
+    t = html.unescape(text) if "&" in text else text
+    if "\r" in t:
+        t = t.replace("\r\n", "\n").replace("\r", "\n")
+    if not t.isascii():
+        t = _INVISIBLE.sub("", unicodedata.normalize("NFKC", t))
     if "<" in t:
         t = _TAG.sub(" ", t)
     if "](" in t:
@@ -56,9 +63,9 @@ def words(text: str | None, numbered: bool = False) -> list[str]:
     t = _HYPHEN.sub("", (_NUMBERED if numbered else _PREFIX).sub("", t))
     t = t.casefold()
     if not t.isascii():
-        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
-    t = t.replace("-", "").replace("‐", "").replace("‑", "")
-    return [_INNER.sub("", w) for w in _WORD.findall(t)]
+        t = _COMBINING.sub("", unicodedata.normalize("NFKD", t)).replace("‐", "").replace("‑", "")
+    found = _WORD.findall(t.replace("-", ""))
+    return [w if w.isalnum() else _INNER.sub("", w) for w in found]
 
 
 def slot(word: str) -> str:
@@ -70,22 +77,44 @@ def slot(word: str) -> str:
     return "<p>" if word.startswith("ifc") else word
 
 
-def _index(items: list[tuple[int, str]]):
-    """template window -> exact window -> [(item, position)], and the words of each item."""
-    texts, index = [], {}
-    for item_id, text in items:
-        w = words(text)
-        if item_id is None or len(w) < RUN:
-            continue
-        k = len(texts)
-        texts.append((int(item_id), w))
-        s = [slot(x) for x in w]
-        for j in range(len(w) - WINDOW + 1):
-            index.setdefault(" ".join(s[j : j + WINDOW]), {}).setdefault(" ".join(w[j : j + WINDOW]), []).append((k, j))
-    return texts, index
-
-
-def _reach(a: list[str], b: list[str], i: int, j: int, step: int, slack: int) -> list[int]:
+class Index:
+    """Template windows of a block of items: window of placeholders -> window of words -> [(item, position)].
+
+    Words and placeholders are small integers; a word that no item has is 0, and so is a placeholder that none has.
+    """
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.texts: list[tuple[int, list[str], list[int], list[int]]] = []
+        self.word_ids: dict[str, int] = {}
+        self.slot_ids: dict[str, int] = {}
+        self.windows: dict[tuple, dict[tuple, list[tuple[int, int]]]] = {}
+        self.memo: dict[str, tuple[int, int]] = {}
+        for item_id, text in items:
+            w = words(text)
+            if item_id is None or len(w) < RUN:
+                continue
+            ids = [self.word_ids.setdefault(x, len(self.word_ids) + 1) for x in w]
+            slots = [self.slot_ids.setdefault(slot(x), len(self.slot_ids) + 1) for x in w]
+            k = len(self.texts)
+            self.texts.append((int(item_id), w, ids, slots))
+            for j in range(len(w) - WINDOW + 1):
+                self.windows.setdefault(tuple(slots[j : j + WINDOW]), {}).setdefault(tuple(ids[j : j + WINDOW]), []).append((k, j))
+
+    def encode(self, doc: list[str]) -> tuple[list[int], list[int]]:
+        """Word and placeholder numbers of a document's words."""
+        memo, ids, slots = self.memo, [], []
+        if len(memo) > 1_000_000:
+            memo.clear()
+        for w in doc:
+            v = memo.get(w)
+            if v is None:
+                v = memo[w] = (self.word_ids.get(w, 0), self.slot_ids.get(slot(w), 0))
+            ids.append(v[0])
+            slots.append(v[1])
+        return ids, slots
+
+
+def _reach(a: list[int], b: list[int], i: int, j: int, step: int, slack: int) -> list[int]:
     """Most words of ``b`` covered from (i, j) in direction ``step`` with 0, 1, 2, ... edits."""
     na, nb = len(a), len(b)
 
@@ -120,7 +149,7 @@ def _reach(a: list[str], b: list[str], i: int, j: int, step: int, slack: int) ->
     return out
 
 
-def _leak(doc: list[str], item: list[str], i: int, j: int, n: int) -> tuple[int, int] | None:
+def _leak(doc: list[int], item: list[int], i: int, j: int, n: int) -> tuple[int, int] | None:
     """(stretch, edits) of a leak around the equal run doc[i:i+n] == item[j:j+n], or None."""
     if n >= RUN:
         return n, 0
@@ -135,41 +164,42 @@ def _leak(doc: list[str], item: list[str], i: int, j: int, n: int) -> tuple[int,
     return best
 
 
-def _scan(doc: list[str], texts, index, exact: bool):
+def _scan(doc: list[str], index: Index, exact: bool):
     """item number -> (longest run, stretch, edits) for exact leaks, or (run, changed slots) for re-parameterised ones."""
     found: dict[int, tuple] = {}
-    s = [slot(x) for x in doc]
+    ids, slots = index.encode(doc)
+    windows, n_words = index.windows, len(doc)
     last: dict[tuple[int, int], int] = {}
-    for i in range(len(doc) - WINDOW + 1):
-        hits = index.get(" ".join(s[i : i + WINDOW]))
+    clean = 0  # words in a row whose placeholder some item has
+    for end, s in enumerate(slots):
+        clean = clean + 1 if s else 0
+        if clean < WINDOW:
+            continue
+        i = end - WINDOW + 1
+        hits = windows.get(tuple(slots[i : end + 1]))
         if hits is None:
             continue
-        groups = [hits.get(" ".join(doc[i : i + WINDOW]), ())] if exact else hits.values()
+        groups = [hits.get(tuple(ids[i : end + 1]), ())] if exact else hits.values()
         for group in groups:
             for k, j in group:
                 seen = last.get((k, i - j))
                 last[k, i - j] = i
                 if seen is not None and seen >= i - 1:
                     continue
-                item = texts[k][1]
+                _, item, item_ids, item_slots = index.texts[k]
                 if exact:
                     n = WINDOW
-                    while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n]:
+                    while i + n < n_words and j + n < len(item) and ids[i + n] == item_ids[j + n]:
                         n += 1
-                    hit = _leak(doc, item, i, j, n)
+                    hit = _leak(ids, item_ids, i, j, n)
                     if hit and (k not in found or hit > found[k][1:]):
                         found[k] = (max(n, found.get(k, (0,))[0]), *hit)
                 else:
-                    n, there, back, changed, fits = 0, {}, {}, 0, True
-                    while i + n < len(doc) and j + n < len(item):
+                    n, there, changed, fits = 0, {}, 0, True
+                    while i + n < n_words and j + n < len(item) and slots[i + n] == item_slots[j + n]:
                         x, y = doc[i + n], item[j + n]
-                        if s[i + n] != slot(y):
-                            break
-                        if x != y:
-                            changed += 1
-                        if x != y or s[i + n] != x:
-                            fits = fits and there.setdefault(y, x) == x
-                            back[x] = y
+                        changed += x != y
+                        fits = fits and there.setdefault(y, x) == x
                         n += 1
                     if n >= RUN and changed and fits and (k not in found or n > found[k][0]):
                         found[k] = (n, changed)
@@ -195,21 +225,21 @@ def _probe(documents: DataFrame, items: DataFrame, exact: bool, schema: str, col
     docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     out = None
     for block in blocks(items):
-        build = spark.sparkContext.broadcast(_index(block))
+        build = spark.sparkContext.broadcast(Index(block))
 
         def run(batches, build=build):
-            texts, index = build.value
+            index = build.value
             for pdf in batches:
                 rows = []
                 for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                     plain = words(text)
-                    found = _scan(plain, texts, index, exact)
-                    if _NUMBERED.search(text):  # both readings of a number before a line
+                    found = _scan(plain, index, exact)
+                    if _HAS_NUMBER.search(text):  # both readings of a number before a line
                         other = words(text, numbered=True)
                         if other != plain:
-                            for k, v in _scan(other, texts, index, exact).items():
+                            for k, v in _scan(other, index, exact).items():
                                 found[k] = max(v, found.get(k, v))
-                    rows.extend((doc_id, texts[k][0], *v) for k, v in found.items())
+                    rows.extend((doc_id, index.texts[k][0], *v) for k, v in found.items())
                 yield pd.DataFrame(rows, columns=columns)
 
         part = docs.mapInPandas(run, schema)
