@@ -24,24 +24,16 @@ from trussflow.llm.pii_table import labelled_rows
 KINDS = ["name", "email", "phone", "id_number", "address"]
 #: Labels: 0 outside, then begin and inside of each kind.
 LABELS = 1 + 2 * len(KINDS)
-TRAIN_ROWS, EPOCHS, BATCH, RATE, DECAY = 5_000, 7, 60, 0.25, 2e-6
+TRAIN_ROWS, EPOCHS, BATCH, RATE, DECAY = 6_000, 7, 60, 0.25, 2e-6
 DIM = 1 << 17
 #: Tokens decoded in one stretch at most, and tokens taken together.
-STRETCH, TOGETHER = 1_500, 120_000
+STRETCH, TOGETHER = 1_500, 30_000
 
 _TOKEN = re.compile(r"\n|[^\W\d_]+|\d+|\S")
 _PAD = "\x00"
 PLACEHOLDER = {k: f"<{k.upper()}>" for k in KINDS}
 
 
-def tokens(text: str) -> tuple[list[str], list[int]]:
-    words, starts = [], []
-    for m in _TOKEN.finditer(text):
-        words.append(m.group())
-        starts.append(m.start())
-    return words, starts
-
-
 def _shape(w: str) -> str:
     if w.isdigit():
         return f"d{min(len(w), 16)}"
@@ -77,33 +69,51 @@ class _Types:
         return k
 
 
-def _features(ids: np.ndarray, glued: np.ndarray, types: np.ndarray):
-    """Yields arrays of feature numbers, one for each template, for every position."""
-    n = len(ids)
-    at = {}
-    for name, col in (("w", 0), ("s", 1), ("p", 2), ("e", 3), ("f", 4)):
-        v = types[ids, col].astype(np.uint64)
-        ext = np.concatenate([np.full(5, types[0, col], np.uint64), v, np.full(5, types[0, col], np.uint64)])
-        for o in range(-4, 5):
-            at[name, o] = ext[5 + o : 5 + o + n]
-    g = np.concatenate([[0], glued, [0, 0]]).astype(np.uint64)
-    at["g", 0], at["g", 1], at["g", -1] = g[1 : n + 1], g[2 : n + 2], g[:n]
-    plans = [[("w", o)] for o in range(-4, 5)] + [[("s", o)] for o in (-2, -1, 0, 1, 2)]
-    plans += [[(k, o)] for k in "pef" for o in (-1, 0, 1)]
-    plans += [
-        [("w", -2), ("w", -1)], [("w", 1), ("w", 2)], [("w", -1), ("s", 0)], [("s", 0), ("w", 1)], [("w", -1), ("w", 1), ("s", 0)],
+def _plans() -> tuple[list, list]:
+    """Feature templates: those of one token at an offset, and conjunctions. w: word, s: shape, p, e, f: first and last letters, g: no blank before."""
+    single = [("w", o) for o in range(-4, 5)] + [("s", o) for o in (-2, -1, 0, 1, 2)] + [(k, o) for k in "pef" for o in (-1, 0, 1)]
+    joint = [
+        [("w", -2), ("w", -1)], [("w", -1), ("s", 0)], [("s", 0), ("w", 1)], [("w", -1), ("w", 1), ("s", 0)],
         [("w", -3), ("w", -2), ("w", -1)], [("w", -2), ("w", -1), ("s", 0)], [("s", 0), ("w", 1), ("w", 2)],
-        [("s", -1), ("s", 0)], [("s", 0), ("s", 1)], [("s", -1), ("s", 0), ("s", 1)], [("s", -2), ("s", -1), ("s", 0)], [("s", 0), ("s", 1), ("s", 2)],
+        [("s", -1), ("s", 0), ("s", 1)], [("s", -2), ("s", -1), ("s", 0)], [("s", 0), ("s", 1), ("s", 2)],
         [("s", -3), ("s", -2), ("s", -1), ("s", 0)], [("s", 0), ("s", 1), ("s", 2), ("s", 3)], [("s", -2), ("s", -1), ("s", 0), ("s", 1), ("s", 2)],
         [("w", -1), ("s", 0), ("s", 1), ("s", 2)], [("g", 0), ("g", 1), ("s", 0)], [("g", 0), ("s", -1), ("s", 0)], [("g", 1), ("s", 0), ("s", 1)],
-        [("s", 1), ("s", 2), ("s", 3), ("s", 4)], [("s", -4), ("s", -3), ("s", -2), ("s", -1)],
+        [("s", -4), ("s", -3), ("s", -2), ("s", -1)],
     ]
-    for k, plan in enumerate(plans):
-        h = np.full(n, 1_000_003 * (k + 1), np.uint64)
+    return single, joint
+
+
+_COLUMN = {"w": 0, "s": 1, "p": 2, "e": 3, "f": 4}
+
+
+def _mix(h: np.ndarray, v: np.ndarray) -> np.ndarray:
+    h = (h * np.uint32(0x9E3779B1) + v) * np.uint32(0x85EBCA77)
+    return h ^ (h >> np.uint32(15))
+
+
+def _single_features(types: np.ndarray):
+    """(offset, feature numbers of every type) of the one-token templates."""
+    for k, (name, o) in enumerate(_plans()[0]):
+        h = _mix(np.full(len(types), 1_000_003 * (k + 1), np.uint32), types[:, _COLUMN[name]])
+        yield o, (h & np.uint32(DIM - 1)).astype(np.int32)
+
+
+def _joint_features(ids: np.ndarray, glued: np.ndarray, types: np.ndarray):
+    """Feature numbers of the conjunctions at every position. Positions beyond the ends count as pads."""
+    n = len(ids)
+    at = {}
+    for name in "ws":
+        v = types[ids, _COLUMN[name]]
+        ext = np.concatenate([np.full(4, types[0, _COLUMN[name]], np.uint32), v, np.full(4, types[0, _COLUMN[name]], np.uint32)])
+        for o in range(-4, 5):
+            at[name, o] = ext[4 + o : 4 + o + n]
+    g = np.concatenate([glued, [0]]).astype(np.uint32)
+    at["g", 0], at["g", 1] = g[:n], g[1:]
+    for k, plan in enumerate(_plans()[1]):
+        h = np.full(n, 7_000_003 * (k + 1), np.uint32)
         for key in plan:
-            h = (h * np.uint64(0x9E3779B1) + at[key]) * np.uint64(0x85EBCA77)
-            h ^= h >> np.uint64(15)
-        yield (h % np.uint64(DIM)).astype(np.int64)
+            h = _mix(h, at[key])
+        yield (h & np.uint32(DIM - 1)).astype(np.int32)
 
 
 def _allowed() -> np.ndarray:
@@ -119,18 +129,22 @@ def _allowed() -> np.ndarray:
 def _flatten(texts: list[str], types: _Types):
     """ids, glued, doc bounds and starts of all tokens of the texts, four pads between documents."""
     ids, glued, bounds, starts = [], [], [], []
+    known, add = types.ids, types.add
     for text in texts:
-        words, begin = tokens(text)
-        ids.extend([0] * 4)
-        glued.extend([0] * 4)
-        first, last = len(ids), -1
-        for w, b in zip(words, begin):
-            ids.append(types.add(w))
-            glued.append(1 if b == last else 0)
-            last = b + len(w)
+        ids.extend((0, 0, 0, 0))
+        glued.extend((0, 0, 0, 0))
+        first, last, begin = len(ids), -1, []
+        for m in _TOKEN.finditer(text):
+            w = m.group()
+            b, e = m.span()
+            k = known.get(w)
+            ids.append(add(w) if k is None else k)
+            glued.append(b == last)
+            begin.append(b)
+            last = e
         bounds.append((first, len(ids)))
         starts.append(begin)
-    return np.array(ids + [0] * 4, np.int64), np.array(glued + [0] * 4, np.int8), bounds, starts
+    return np.array([*ids, 0, 0, 0, 0], np.int64), np.array([*glued, 0, 0, 0, 0], np.int8), bounds, starts
 
 
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
@@ -152,7 +166,10 @@ def train(rows: int = TRAIN_ROWS, epochs: int = EPOCHS, seed: int = 7) -> tuple[
             inside = np.flatnonzero((begin >= s) & (begin < e)) + a
             gold[inside] = 2 + 2 * k
             gold[inside[:1]] = 1 + 2 * k
-    matrix = np.stack(list(_features(ids, glued, np.array(types.rows, np.int64))), axis=1)
+    kinds = np.array(types.rows, np.uint32)
+    padded = np.concatenate([np.zeros(4, np.int64), ids, np.zeros(4, np.int64)])
+    columns = [f[padded[4 + o : 4 + o + len(ids)]] for o, f in _single_features(kinds)] + list(_joint_features(ids, glued, kinds))
+    matrix = np.stack(columns, axis=1)
     mask = _allowed().astype(np.float64)
     w, trans = np.zeros((DIM, LABELS)), np.zeros((LABELS, LABELS))
     gw, gt = np.full_like(w, 1e-2), np.full_like(trans, 1e-2)
@@ -223,10 +240,22 @@ def viterbi(em: np.ndarray, trans: np.ndarray, stretches: list[tuple[int, int]])
             pos[r, : b - a] = np.arange(a, b)
         score = em[pos[:, 0]] + trans[0]
         back = np.zeros((longest, size, LABELS), np.int8)
+        # Every label may follow any, but an inside label only its own begin or inside.
+        open_ = np.array([0, *range(1, LABELS, 2)])
+        begins, insides = np.arange(1, LABELS, 2), np.arange(2, LABELS, 2)
+        t_open, t_begin, t_inside = trans[:, open_], trans[begins, insides], trans[insides, insides]
+        rows1 = np.arange(size)[:, None]
+        cols = np.arange(len(open_))[None, :]
         for t in range(1, longest):
-            cand = score[:, :, None] + trans
-            back[t] = cand.argmax(1)
-            nxt = cand.max(1) + em[pos[:, t]]
+            cand = score[:, :, None] + t_open
+            best_from = cand.argmax(1)
+            a, b = score[:, begins] + t_begin, score[:, insides] + t_inside
+            nxt = np.empty_like(score)
+            nxt[:, open_] = cand[rows1, best_from, cols]
+            nxt[:, insides] = np.maximum(a, b)
+            back[t][:, open_] = best_from
+            back[t][:, insides] = np.where(a > b, begins, insides)
+            nxt += em[pos[:, t]]
             score = np.where((length > t)[:, None], nxt, score)
         label = score.argmax(1)
         rows = np.arange(size)
@@ -239,6 +268,7 @@ def viterbi(em: np.ndarray, trans: np.ndarray, stretches: list[tuple[int, int]])
 
 
 _TITLE = re.compile(r"^(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|Mme|Mlle|Monsieur|Madame|Dipl|Ing)\.?\s+)+(?=[^\W\d_])")
+_FRENCH = re.compile(r"\b(?:le|la|les|des|du|est|sont|ont|au|aux|une|sous|côté|chez|faute|avant|vérifie|mesuré|près)\b")
 _NOT_NAME = re.compile(r"^(?:&.*|Mr|Mrs|Ms|Dr|Herr|Frau|Mme|M|Prof)\.?$|^[\W\d_]*$")
 
 
@@ -263,6 +293,8 @@ def _checked(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     m = _TITLE.match(s)
     if m and m.end() < len(s):
         a, s = a + m.end(), s[m.end() :]
+    if text[a - 3 : a] == "M. " and not text[a - 4 : a - 3].isalnum() and len(_FRENCH.findall(text, max(0, a - 120), a + 120)) < 2:
+        a, s = a - 3, "M. " + s  # an initial: only French addresses people so
     return None if _NOT_NAME.match(s) or len(s) < 2 or digits > 1 else (a, b)
 
 
@@ -270,7 +302,12 @@ class Tagger:
     """Finds spans in batches of texts."""
 
     def __init__(self, weights: np.ndarray, trans: np.ndarray):
-        self.weights, self.trans, self.types = weights, trans, _Types()
+        self.weights, self.trans = weights, trans
+        self._reset()
+
+    def _reset(self) -> None:
+        self.types, self.known = _Types(), 0
+        self.table = np.zeros((9, 0, LABELS), np.float32)
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) of each text, 0-based."""
@@ -278,7 +315,7 @@ class Tagger:
         i = 0
         while i < len(texts):
             j, chars = i, 0
-            while j < len(texts) and (j == i or chars + len(texts[j]) < 4 * TOGETHER):
+            while j < len(texts) and (j == i or chars + len(texts[j]) < 2_000_000):
                 chars += len(texts[j])
                 j += 1
             out.extend(self._spans(texts[i:j]))
@@ -286,15 +323,26 @@ class Tagger:
         return out
 
     def _spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-        if len(self.types.rows) > 400_000:
-            self.types = _Types()
+        if len(self.types.rows) > 100_000:
+            self._reset()
         ids, glued, bounds, starts = _flatten(texts, self.types)
-        types = np.array(self.types.rows, np.int64)
+        types = np.array(self.types.rows, np.uint32)
+        new = types[self.known :]
+        if len(new):  # the one-token features of a token are added up once
+            table = np.zeros((9, len(new), LABELS), np.float32)
+            for o, f in _single_features(new):
+                table[4 + o] += self.weights[f]
+            self.table = np.concatenate([self.table, table], axis=1)
+            self.known = len(types)
         em = np.zeros((len(ids), LABELS), np.float32)
         for a in range(0, len(ids), TOGETHER):  # features look four tokens to either side
             lo, hi = max(0, a - 8), min(len(ids), a + TOGETHER + 8)
-            block = np.zeros((hi - lo, LABELS), np.float32)
-            for f in _features(ids[lo:hi], glued[lo:hi], types):
+            part = ids[lo:hi]
+            padded = np.concatenate([np.zeros(4, np.int64), part, np.zeros(4, np.int64)])
+            block = self.table[4][part]
+            for o in (-4, -3, -2, -1, 1, 2, 3, 4):
+                block += self.table[4 + o][padded[4 + o : 4 + o + len(part)]]
+            for f in _joint_features(part, glued[lo:hi], types):
                 block += self.weights[f]
             b = min(len(ids), a + TOGETHER)
             em[a:b] = block[a - lo : b - lo]
