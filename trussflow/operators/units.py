@@ -8,7 +8,7 @@ combinations that do equally well are flagged as ambiguous.
 Identity used: Young's modulus = 2 * shear modulus * (1 + Poisson's ratio), the one that the material values obey.
 
 Defined results: null, empty and unreadable texts have no number; a text with an unknown unit, or one of another kind than
-the quantity's, has no unit and is not converted; exact repeats count once; values of a null element or file enter no
+the quantity's, has no unit and is not converted; exact repeats give equal rows; values of a null element or file enter no
 identity; zero and negative values enter no identity; a name that is not in QUANTITIES is passed over.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trussflow.functions.text import NUMBER, number, squeeze
-from trussflow.session import salted_join
+from trussflow.session import lookup_join
 
 POUND, INCH, FOOT, GRAVITY = 0.45359237, 0.0254, 0.3048, 9.80665
 _PSI = POUND * GRAVITY / INCH**2
@@ -81,8 +81,9 @@ QUANTITIES = {
 #: Units tried by the identity for values without unit.
 CANDIDATES = {"pressure": [1.0, 1e3, 1e6, 1e9, _PSI, 1000 * _PSI], "ratio": [1.0, 0.01]}
 
-PREFIX = "(?i)^(?:(?:max|min|approx|ca|circa|about|env|etwa|rund|nom|typ)\\.?|[~≈≤≥<>±=])\\s*"
-FEET_INCHES = "^(\\d+)\\s*(?:'|′|ft\\.?|feet|foot)\\s*-?\\s*(\\d+(?:\\.\\d+)?)?(?:\\s*(\\d+)/(\\d+))?\\s*(?:\"|″|in\\.?|inch|inches)$"
+PREFIX = "(?i)^(?:(?:(?:max|min|approx|ca|circa|about|env|etwa|rund|nom|typ)\\.?|[~≈≤≥<>±=])\\s*)+"
+#: Feet, inches and a fraction of an inch; the inches may be the fraction alone.
+FEET_INCHES = "^(\\d+)\\s*(?:'|′|ft\\.?|feet|foot)\\s*-?\\s*(?:(?!\\d+/)(\\d+(?:\\.\\d+)?))?(?:\\s*(\\d+)/(\\d+))?(?<=\\d)\\s*(?:\"|″|in\\.?|inch|inches)$"
 
 
 def unit_key(c: Column) -> Column:
@@ -103,29 +104,24 @@ def read_quantities(quantities: DataFrame) -> DataFrame:
     table = _factors()
     kinds = F.create_map(*[F.lit(x) for n, (k, _, _) in QUANTITIES.items() for x in (n, k)])
     q = quantities.withColumn("kind", _lookup(kinds, F.col("name"))).where("kind is not null")
-    t = squeeze(F.col("value"))
-    for _ in range(2):
-        t = F.regexp_replace(t, PREFIX, "")
-    q = q.withColumn("_t", t)
+    t = F.regexp_replace(squeeze(F.col("value")), PREFIX, "")
+    q = q.withColumn("_t", t).withColumn("_num", F.regexp_extract(F.col("_t"), f"^({NUMBER})", 1))
     t = F.col("_t")
-    feet = t.rlike(FEET_INCHES) & (F.col("kind") == "length") & (F.regexp_extract(t, FEET_INCHES, 2) != "") | t.rlike("^\\d+\\s*(?:'|ft\\.?)\\s*-?\\s*\\d+/\\d+\\s*(?:\"|in\\.?)$") & (F.col("kind") == "length")
+    # feet and inches are rare: the pattern is tried only on texts that have a mark of each
+    feet = (F.col("kind") == "length") & t.rlike("^\\d") & t.rlike("(?:\"|″|in\\.?|inch|inches)$") & t.rlike(FEET_INCHES)
+    q = q.withColumn("_feet", feet)
 
     def part(i: int) -> Column:
         return F.coalesce(F.regexp_extract(t, FEET_INCHES, i).try_cast("double"), F.lit(0.0))
 
     inches = part(1) * 12 + part(2) + F.coalesce(F.try_divide(part(3), part(4)), F.lit(0.0))
-    rest = unit_key(F.regexp_replace(t, f"^{NUMBER}", ""))
-    plain = number(F.regexp_extract(t, f"^({NUMBER})", 1))
-    return q.select(
-        "*",
-        F.when(feet, inches).otherwise(plain).alias("number"),
-        F.when(feet, F.lit("in")).otherwise(rest).alias("text_unit"),
-    ).select(
-        "*",
-        _lookup(table, F.concat(F.col("kind"), F.lit(":"), F.col("text_unit"))).alias("text_factor"),
-        unit_key(F.col("unit")).alias("unit_text"),
-        _lookup(table, F.concat(F.col("kind"), F.lit(":"), unit_key(F.col("unit")))).alias("column_factor"),
-    ).drop("_t")
+    q = q.withColumns({
+        "number": F.when(F.col("_feet"), inches).otherwise(number(F.col("_num"))),
+        "text_unit": F.when(F.col("_feet"), "in").otherwise(unit_key(F.substr(t, F.length("_num") + 1))),
+        "unit_text": unit_key(F.col("unit")),
+    })
+    of = lambda c: _lookup(table, F.concat(F.col("kind"), F.lit(":"), F.col(c)))
+    return q.withColumns({"text_factor": of("text_unit"), "column_factor": of("unit_text")}).drop("_t", "_num", "_feet")
 
 
 def declared_units(file_units: DataFrame) -> DataFrame:
@@ -141,8 +137,8 @@ def declared_units(file_units: DataFrame) -> DataFrame:
 
 def resolve(quantities: DataFrame, file_units: DataFrame) -> DataFrame:
     """One row per quantity row: number, unit_source (text, column, scale, file, plain, or null) and factor."""
-    q = read_quantities(quantities.select("qty_id", "file_id", "ifc_id", "name", "value", "unit", "unit_scale").distinct())
-    q = salted_join(q, declared_units(file_units), ["file_id", "kind"], "left")
+    q = read_quantities(quantities.select("qty_id", "file_id", "ifc_id", "name", "value", "unit", "unit_scale"))
+    q = lookup_join(q, declared_units(file_units), ["file_id", "kind"])
     has_text = F.col("text_unit") != ""
     has_column = F.coalesce(F.col("unit_text") != "", F.lit(False))
     by_scale = (F.col("kind") == "length") & F.col("unit_scale").isNotNull()
@@ -170,9 +166,7 @@ def identity_units(resolved: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """
     names = ("YoungModulus", "ShearModulus", "PoissonRatio")
     ok = resolved.where(F.col("name").isin(*names) & (F.col("number") > 0) & F.col("file_id").isNotNull() & F.col("ifc_id").isNotNull() & (F.col("factor").isNotNull() | F.col("unit_open")))
-    best = F.max(F.struct(F.col("factor").isNotNull().alias("declared"), "qty_id", "number", "factor"))
     per = ok.groupBy("file_id", "ifc_id").agg(*[F.max(F.when(F.col("name") == n, F.struct(F.col("factor").isNotNull().alias("declared"), "qty_id", "number", "factor"))).alias(n) for n in names])
-    assert best is not None
     per = per.where(" and ".join(f"{n} is not null" for n in names)).where("not YoungModulus.declared or not ShearModulus.declared")
 
     def options(n: str) -> Column:
@@ -198,7 +192,7 @@ def common_units(quantities: DataFrame, file_units: DataFrame) -> DataFrame:
     """
     r = resolve(quantities, file_units)
     solved = identity_units(r)
-    r = salted_join(r.withColumn("_open", F.when(F.col("unit_open"), F.col("ifc_id"))), solved.withColumnRenamed("ifc_id", "_open"), ["file_id", "_open", "name"], "left")
+    r = lookup_join(r.withColumn("_open", F.when(F.col("unit_open"), F.col("ifc_id"))), solved.withColumnRenamed("ifc_id", "_open"), ["file_id", "_open", "name"])
     factor = F.coalesce("factor", F.when(F.col("unit_open"), F.col("solved_factor")))
     source = F.coalesce("unit_source", F.when(F.col("unit_open") & F.col("solved_factor").isNotNull(), F.lit("identity")))
     canon = F.create_map(*[F.lit(x) for n, (_, _, c) in QUANTITIES.items() for x in (n, c)])

@@ -36,11 +36,11 @@ def p2_schema(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_units(spark: SparkSession, d: str) -> DataFrame:
-    return units.common_units(table(spark, d, "quantities"), table(spark, d, "file_units"))
+    return units.common_units(table(spark, d, "quantities"), table(spark, d, "file_units")).distinct()
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    u = p3_units(spark, d)
+    u = units.common_units(table(spark, d, "quantities"), table(spark, d, "file_units"))
     declared = F.col("unit_source").isin("text", "column", "scale", "file")
     return u.where(declared & F.col("canon").isNotNull() & (F.abs(F.col("factor") - 1) > 1e-12)).select("qty_id", "canon").distinct()
 

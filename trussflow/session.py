@@ -76,6 +76,18 @@ def _is_hot(df: DataFrame, keys: list[str], hot: list[tuple]) -> Column:
     return F.coalesce(packed.isin([F.struct(*[F.lit(x).cast(types[k]).alias(k) for k, x in zip(keys, key)]) for key in hot]), F.lit(False))
 
 
+#: Rows of a lookup table that may be broadcast (a few dozen bytes each).
+SMALL_ROWS = 200_000
+
+
+def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", small: int = SMALL_ROWS) -> DataFrame:
+    """Join with a table that is written out and counted first: broadcast up to ``small`` rows, salted join beyond."""
+    right = materialize(right, "lookup")
+    if right.count() <= small:
+        return left.join(F.broadcast(right), keys, how)
+    return salted_join(left, right, keys, how)
+
+
 def salted_join(
     left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = 16, hot: list[tuple] | None = None
 ) -> DataFrame:
