@@ -95,7 +95,7 @@ def surviving(refs: DataFrame, states: DataFrame) -> DataFrame:
             tabs += [row.tab] * len(found)
             months += [row.month] * len(found)
             codes.append(found + bucket * RANGE)
-        return pd.DataFrame({"tab": tabs, "month": np.array(months, np.int32), "code": np.concatenate(codes).astype(np.int64) if codes else np.zeros(0, np.int64)})
+        return pd.DataFrame({"tab": pd.Series(tabs, dtype=object), "month": np.array(months, np.int32), "code": np.concatenate(codes).astype(np.int64) if codes else np.zeros(0, np.int64)})
 
     return r.unionByName(p).groupBy("bucket").applyInPandas(and_not, "tab string, month int, code bigint")
 
