@@ -54,6 +54,7 @@ def select_box(df: DataFrame, box: dict[str, float], extend: float = 0.0, inside
 
 def select_ray(df: DataFrame, origin: tuple[float, float, float], direction: tuple[float, float, float], length: float = 1000.0) -> DataFrame:
     """Boxes a ray meets within its length, with the distance of entry (slab test)."""
+    df = df.dropna(subset=BOX)
     n = sum(d * d for d in direction) ** 0.5
     near, far, ok = F.lit(0.0), F.lit(float(length)), F.lit(True)
     for a, o, d in zip(AXES, origin, direction):

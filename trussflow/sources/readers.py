@@ -31,7 +31,7 @@ def open_model(spark: SparkSession, path: str, format: str | None = None, bypass
     if kind == "xml":
         return spark.read.format("xml").option("rowTag", row_tag).load(path)
     if kind in ("xer", "text"):
-        return spark.read.option("wholetext", kind == "xer").text(path)
+        return spark.read.text(path, wholetext=kind == "xer")
     if kind == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"unknown format {kind}")
