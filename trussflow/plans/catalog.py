@@ -370,7 +370,7 @@ def agg_clusters(spark, d):
     return spatial.clusters(p, 3.0)
 
 
-@query(f"SELECT id, round(12.0, 6) AS volume, round(32.0, 6) AS area FROM {_box_sql('R')}")
+@query(f"SELECT id, CAST(12 AS DOUBLE) AS volume, CAST(32 AS DOUBLE) AS area FROM {_box_sql('R')}")
 def agg_qto(spark, d):
     q = spatial.mesh_quantities(spatial.box_mesh(_boxes(spark, d, "R")))
     return q.select("id", F.round("volume", 6).alias("volume"), F.round("area", 6).alias("area"))
@@ -621,7 +621,7 @@ def unit_convert(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(sc.convert(F.col("p_size"), sc.unit_scale("", "foot"), sc.unit_scale("MILLI", "METRE")), 6).alias("mm"))
 
 
-@query("SELECT p_partkey AS id, round(0.6 * p_size - 0.8 * p_partkey + 1000, 6) AS e, round(0.8 * p_size + 0.6 * p_partkey + 2000, 6) AS n, round(p_retailprice + 5.0, 6) AS h FROM part")
+@query("SELECT p_partkey AS id, round(CAST(0.6 AS DOUBLE) * p_size - CAST(0.8 AS DOUBLE) * p_partkey + 1000, 6) AS e, round(CAST(0.8 AS DOUBLE) * p_size + CAST(0.6 AS DOUBLE) * p_partkey + 2000, 6) AS n, round(p_retailprice + 5.0, 6) AS h FROM part")
 def xyz2enh(spark, d):
     p = table(spark, d, "part")
     e, n, h = sc.xyz2enh(F.col("p_size"), F.col("p_partkey"), F.col("p_retailprice"), 1000, 2000, 5, 3, 4)
@@ -684,7 +684,7 @@ def ids_results(spark, d):
     return audit.results(table(spark, d, "orders"), "o_orderkey", _specs()).select("specification", "requirement", "entity", "passed")
 
 
-@query(f"SELECT specification, requirement, count(*) AS checks, count_if(passed) AS passes, CAST(floor(count_if(passed) * 100 / count(*)) AS INT) AS percent FROM ({_SPEC_SQL}) GROUP BY 1, 2")
+@query(f"SELECT specification, requirement, count(*) AS checks, CAST(count_if(passed) AS BIGINT) AS passes, CAST(floor(count_if(passed) * 100 / count(*)) AS INT) AS percent FROM ({_SPEC_SQL}) GROUP BY 1, 2")
 def audit_totals(spark, d):
     return audit.totals(audit.results(table(spark, d, "orders"), "o_orderkey", _specs()))
 
@@ -694,7 +694,7 @@ def audit_passed_view(spark, d):
     return audit.passed_view(audit.results(table(spark, d, "orders"), "o_orderkey", _specs()))
 
 
-@query(f"SELECT specification, count(*) AS applicable, count_if(NOT ok) AS failed, CASE WHEN count_if(NOT ok) = 0 THEN 'pass' ELSE 'fail' END AS status FROM (SELECT specification, entity, bool_and(passed) AS ok FROM ({_SPEC_SQL}) GROUP BY 1, 2) GROUP BY 1")
+@query(f"SELECT specification, count(*) AS applicable, CAST(count_if(NOT ok) AS BIGINT) AS failed, CASE WHEN count_if(NOT ok) = 0 THEN 'pass' ELSE 'fail' END AS status FROM (SELECT specification, entity, bool_and(passed) AS ok FROM ({_SPEC_SQL}) GROUP BY 1, 2) GROUP BY 1")
 def ids_status(spark, d):
     return audit.statuses(table(spark, d, "orders"), _specs())
 
@@ -764,7 +764,7 @@ def _records(spark, d) -> DataFrame:
     return c.unionByName(n)
 
 
-@query("SELECT c_custkey + 1000 AS id, c_name AS name, c_nationkey + 1 AS nation, c_mktsegment AS segment FROM customer")
+@query("SELECT c_custkey + 1000 AS id, c_name AS name, CAST(c_nationkey + 1 AS BIGINT) AS nation, c_mktsegment AS segment FROM customer")
 def scan_spf(spark, d):
     """Records written as text and parsed again."""
     t = spf.parse_lines(spf.record_text(_records(spark, d))).where("class = 'IFCCUSTOMER'")
@@ -776,7 +776,7 @@ def scan_stream_offsets(spark, d):
     return spf.edges(spf.parse_lines(spf.record_text(_records(spark, d)))).select("src", "dst")
 
 
-@query("SELECT n_nationkey + 1 AS id, '#' || (n_nationkey + 1) || '=IFCNATION(''' || n_name || ''');' AS value FROM nation")
+@query("SELECT CAST(n_nationkey + 1 AS BIGINT) AS id, '#' || (n_nationkey + 1) || '=IFCNATION(''' || n_name || ''');' AS value FROM nation")
 def sink_spf(spark, d):
     r = _records(spark, d).where("class = 'IFCNATION'")
     return spf.record_text(r).select(F.regexp_extract("value", "^#(\\d+)", 1).cast("bigint").alias("id"), "value")
