@@ -74,6 +74,6 @@ def name_key(c: Column) -> Column:
 
 def guid_key(c: Column) -> Column:
     """The 32 hex digits of a GUID in any spelling (urn, braces, no dashes, blanks); null if there are not 32."""
-    t = F.regexp_replace(F.lower(c), "urn:uuid:", "")
-    t = F.regexp_replace(t, "[^0-9a-z]", "")
+    t = F.replace(F.lower(c), F.lit("urn:uuid:"), F.lit(""))
+    t = F.translate(t, "-{}() \t\r\n\u00a0", "")
     return F.when(t.rlike("^[0-9a-f]{32}$"), t)

@@ -128,10 +128,11 @@ def model_orphans(psets: DataFrame, quantities: DataFrame, references: DataFrame
         numeric(psets, "psets", "prop_id").unionByName(numeric(quantities, "quantities", "qty_id")),
         id_map.select(numeric_code(F.col("ifc_id")).alias("code"), "added_at", "deleted_at"),
     )
-    refs = references.select("ref_id", reference_guid(F.col("document_guid")).alias("key"), F.col("created_at").alias("at")).where("key is not null")
-    docs = documents.select(reference_guid(F.col("guid")).alias("key"), "added_at", "deleted_at").where("key is not null")
+    # Keys are read from their spellings once; coded references are read several times below.
+    refs = materialize(references.select("ref_id", reference_guid(F.col("document_guid")).alias("key"), F.col("created_at").alias("at")).where("key is not null"), "references")
+    docs = materialize(documents.select(reference_guid(F.col("guid")).alias("key"), "added_at", "deleted_at").where("key is not null"), "documents")
     codes = dictionary(refs.select("key"), docs.select("key"))
-    coded = salted_join(refs, codes, ["key"]).select(F.lit("bcf_references").alias("tab"), "ref_id", "code", "at")
+    coded = materialize(salted_join(refs, codes, ["key"]).select(F.lit("bcf_references").alias("tab"), "ref_id", "code", "at"), "coded")
     by_guid = orphans(coded, docs.join(codes, "key").select("code", "added_at", "deleted_at"))
     return by_number.unionByName(by_guid)
 
