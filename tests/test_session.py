@@ -19,3 +19,13 @@ def test_materialize_keeps_rows_and_types(spark):
     df = spark.createDataFrame([(1, None, [1.0]), (2, "x", None)], "a int, b string, c array<double>")
     got = materialize(df)
     assert got.schema.simpleString() == df.schema.simpleString() and sorted(map(tuple, got.collect())) == [(1, None, [1.0]), (2, "x", None)]
+
+
+def test_global_rank_matches_sorting(spark):
+    from trussflow.session import global_rank
+
+    df = spark.range(1000).select(((F.col("id") * 37) % 211).alias("v"), "id")
+    got = global_rank(df, [F.col("v"), F.col("id").desc()])
+    want = sorted(((r.v, -r.id) for r in df.collect()))
+    assert [(r.v, -r.id) for r in sorted(got.collect(), key=lambda r: r["rank"])] == want
+    assert global_rank(df.where("false"), [F.col("v")]).count() == 0

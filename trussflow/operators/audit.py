@@ -116,3 +116,93 @@ def passed_view(result: DataFrame) -> DataFrame:
     """specification, entity: applicable elements without any failure (anti join)."""
     failed = result.where("not passed").select("specification", "entity")
     return result.select("specification", "entity").distinct().join(failed, ["specification", "entity"], "left_anti")
+
+
+# ---------------------------------------------------------------- facets over a store of elements, relations and properties
+
+
+@dataclass(frozen=True)
+class EntityFacet:
+    """Class name in upper case, exactly and without subtypes, and the predefined type if one is given."""
+
+    name: str
+    predefined_type: object = None
+
+    def ids(self, store) -> DataFrame:
+        e = store.elements.join(store.get_predefined_type().withColumnRenamed("predefined_type", "_pt"), "id")
+        ok = F.upper("class") == self.name.upper()
+        if self.predefined_type is not None:
+            ok = ok & (self.predefined_type.test(F.col("_pt")) if isinstance(self.predefined_type, Restriction) else F.col("_pt") == self.predefined_type)
+        return e.where(ok).select("id")
+
+
+def _fits(value, c: Column) -> Column:
+    return F.lit(True) if value is None else value.test(c) if isinstance(value, Restriction) else equals(c, value)
+
+
+@dataclass(frozen=True)
+class PropertyFacet:
+    """A property of a set, own or inherited from the type; every matching one must be given and fit."""
+
+    pset: object
+    name: object
+    value: object = None
+
+    def ids(self, store) -> DataFrame:
+        p = store.get_psets().where(_fits(self.pset, F.col("pset_name")) & _fits(self.name, F.col("name")))
+        ok = F.col("value").isNotNull() & (F.trim("value") != "") & _fits(self.value, F.col("value"))
+        return p.groupBy("id").agg(F.bool_and(ok).alias("ok")).where("ok").select("id")
+
+
+@dataclass(frozen=True)
+class RelatedFacet:
+    """Elements related by ``kind`` (classification, material, group) to one whose name or id fits; types pass it on."""
+
+    kind: str
+    value: object = None
+
+    def ids(self, store) -> DataFrame:
+        r = store.related(self.kind).join(store.elements.select(F.col("id").alias("other"), "name"), "other", "left")
+        hit = r.where(_fits(self.value, F.col("name")) | _fits(self.value, F.col("other").cast("string"))).select("id").distinct()
+        through = store.related("type").join(hit.withColumnRenamed("id", "other"), "other", "left_semi").select("id")
+        return hit.union(through).distinct()
+
+
+@dataclass(frozen=True)
+class PartOfFacet:
+    """Elements that lie, at any depth, in an element of a class, through one relation or any part-of relation."""
+
+    name: str
+    relation: str | None = None
+
+    def ids(self, store) -> DataFrame:
+        from trussflow.operators.graph import reach
+        from trussflow.operators.store import PART_OF
+
+        kinds = [self.relation] if self.relation else list(PART_OF)
+        down = store.rels.where(F.col("kind").isin(kinds)).select(F.col("relating").alias("src"), F.col("related").alias("dst"))
+        tops = store.elements.where(F.upper("class") == self.name.upper()).select("id")
+        below = reach(down, tops)  # a top may lie in another top, so members are found by their parents
+        return down.join(below.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+
+
+def store_audit(store, name: str, applicability: list, requirements: list[tuple[object, str]]) -> DataFrame:
+    """specification, requirement, entity, passed for facets over a store; each requirement has its cardinality.
+
+    ``required``: the facet must hold; ``prohibited``: it must not; ``optional`` is for facets whose absence is no failure:
+    elements that lack the property or relation altogether pass.
+    """
+    chosen = store.elements.select("id")
+    for f in applicability:
+        chosen = chosen.join(f.ids(store), "id", "left_semi")
+    out = None
+    for k, (f, cardinality) in enumerate(requirements):
+        hit = f.ids(store).withColumn("_hit", F.lit(True))
+        rows = chosen.join(hit, "id", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+        if cardinality == "optional":
+            bare = PropertyFacet(f.pset, f.name) if isinstance(f, PropertyFacet) else RelatedFacet(f.kind) if isinstance(f, RelatedFacet) else f
+            rows = rows.join(bare.ids(store).withColumn("_any", F.lit(True)), "id", "left").withColumn("_hit", F.col("_hit") | F.col("_any").isNull())
+        passed = ~F.col("_hit") if cardinality == "prohibited" else F.col("_hit")
+        part = rows.select(F.lit(name).alias("specification"), F.lit(k).alias("requirement"), F.col("id").alias("entity"), passed.alias("passed"))
+        out = part if out is None else out.unionByName(part)
+    return out

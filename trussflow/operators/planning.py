@@ -103,19 +103,16 @@ def total_quantity(df: DataFrame, group: str, quantity: str) -> DataFrame:
     return df.groupBy(group).agg(F.sum(F.col(quantity).cast("decimal(28,6)")).cast("double").alias("quantity"))
 
 
-def parse_csv_hierarchy(rows: DataFrame, index: str, order: str) -> DataFrame:
-    """Parent of each row of an indented table: the last row before it that is one level up.
+def parse_csv_hierarchy(rows: DataFrame, index: str, order: str, document: str | None = None, levels: int = 64) -> DataFrame:
+    """Parent of each row of indented tables: the last row before it, in its document, that is one level up.
 
-    Levels are few, so the last row of each level is carried along by one window instead of a join.
+    One window per document carries the last row of every level along; documents are files that people edit, so each fits a
+    task, and many are spread over all tasks. Levels beyond ``levels`` have no parent.
     """
-    w = Window.partitionBy(F.lit(1)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.struct(F.col(order).alias("row"), F.col(index).alias("level")), ignorenulls=True)
-    assert last is not None
-    levels = rows.agg(F.max(index)).first()[0] or 0
-    for k in range(levels):
-        rows = rows.withColumn(f"_l{k}", F.last(F.when(F.col(index) == k, F.col(order)), ignorenulls=True).over(w))
-    pick = [F.when(F.col(index) == k + 1, F.col(f"_l{k}")) for k in range(levels)]
-    return rows.withColumn("parent", F.coalesce(*pick) if pick else F.lit(None).cast("bigint")).drop(*[f"_l{k}" for k in range(levels)])
+    key = F.lit(1) if document is None else F.col(document)
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.array(*[F.last(F.when(F.col(index) == k, F.col(order)), ignorenulls=True).over(w) for k in range(levels)])
+    return rows.withColumn("parent", F.when(F.col(index) > 0, F.get(last, F.col(index) - 1)))
 
 
 def p6_tables(lines: DataFrame) -> DataFrame:

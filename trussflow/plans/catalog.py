@@ -11,8 +11,9 @@ from trussflow.functions import formatting as fmt
 from trussflow.functions import scalar as sc
 from trussflow.model import test_model
 from trussflow.operators import audit, compare, hierarchy, planning, report, rules, spatial
+from trussflow.plans import express
 from trussflow.plans.selector import Selector
-from trussflow.session import table
+from trussflow.session import global_rank, table
 from trussflow.sources import spf
 from trussflow.streaming import stream
 
@@ -421,7 +422,8 @@ def topk_types(spark, d):
 
 @query("SELECT n_name AS name, row_number() OVER (ORDER BY CAST(regexp_extract(n_name, '([0-9]+)', 1) AS INT)) AS rank FROM nation")
 def natural_sort_rank(spark, d):
-    return table(spark, d, "nation").select(F.col("n_name").alias("name"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(sc.natural_key(F.col("n_name")))).cast("bigint").alias("rank"))
+    names = table(spark, d, "nation").select(F.col("n_name").alias("name"))
+    return global_rank(names, [sc.natural_key(F.col("name"))])
 
 
 @query("SELECT c_mktsegment AS segment, c_custkey AS id, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) <= 3")
@@ -731,6 +733,12 @@ def rule_inverse_cardinality(spark, d):
     return rules.inverse_cardinality(m.rows("Customer"), m.edges(["Order"]).where("attr = 'customer'"), 5, 15, "orders")
 
 
+@query("SELECT rule, id FROM (SELECT 'WR1' AS rule, o_orderkey AS id FROM orders WHERE NOT coalesce(o_totalprice > 1000 AND o_orderstatus IN ('O', 'F'), false) UNION ALL SELECT 'WR2', o_orderkey FROM orders WHERE NOT coalesce(o_orderpriority LIKE '_-%' AND o_totalprice BETWEEN 5000 AND 300000, false))")
+def express_rules(spark, d):
+    texts = {"WR1": "(TotalPrice > 1000.) AND (Status IN ['O', 'F'])", "WR2": "(Priority LIKE '#-&') AND {5000. <= TotalPrice <= 300000.}"}
+    return express.check_rules(table(spark, d, "orders"), "o_orderkey", texts, {"TotalPrice": "o_totalprice", "Status": "o_orderstatus", "Priority": "o_orderpriority"})
+
+
 @query("SELECT l_orderkey AS id, CAST(count_if(l_quantity > 40) AS INT) AS n FROM lineitem GROUP BY 1")
 def express_query_sizeof(spark, d):
     g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list("l_quantity").alias("q"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trussflow.operators import hierarchy, planning, report
+from trussflow.operators import audit, hierarchy, planning, report
 from trussflow.operators.store import RECIPES, Store
 from trussflow.session import table
 
@@ -170,6 +170,44 @@ def q_materials(s):
     return s.related("material", up=False).groupBy(F.col("id").alias("material")).agg(F.count("*").alias("members"))
 
 
+# ---------------------------------------------------------------- audit facets over the store
+
+_OWN = "(SELECT id, pset_name, name, value FROM psets UNION ALL SELECT r.related, p.pset_name, p.name, p.value FROM rels r JOIN psets p ON p.id = r.relating WHERE r.kind = 'type' AND NOT EXISTS (SELECT 1 FROM psets o WHERE o.id = r.related AND o.pset_name = p.pset_name AND o.name = p.name))"
+_PTYPE = "(SELECT e.id, coalesce(nullif(e.predefined_type, 'NOTDEFINED'), nullif(t.predefined_type, 'NOTDEFINED')) AS p FROM elements e LEFT JOIN rels r ON r.kind = 'type' AND r.related = e.id LEFT JOIN elements t ON t.id = r.relating)"
+
+
+@query(f"SELECT e.id FROM elements e JOIN {_PTYPE} q ON q.id = e.id WHERE e.class = 'Element' AND q.p = 'OWN'")
+def ids_entity(s):
+    return audit.EntityFacet("ELEMENT", "OWN").ids(s)
+
+
+@query(f"SELECT id FROM {_OWN} WHERE pset_name = 'Pset_Part' AND name = 'Size' GROUP BY id HAVING bool_and(CAST(value AS DOUBLE) >= 5 AND CAST(value AS DOUBLE) < 20)")
+def ids_property(s):
+    return audit.PropertyFacet("Pset_Part", "Size", audit.Restriction(min_inclusive=5, max_exclusive=20)).ids(s)
+
+
+@query("SELECT DISTINCT related AS id FROM rels WHERE kind = 'classification' AND relating = 7")
+def ids_classification(s):
+    return audit.RelatedFacet("classification", "7").ids(s)
+
+
+@query("SELECT DISTINCT related AS id FROM rels WHERE kind = 'material' AND relating IN (1, 3)")
+def ids_material(s):
+    return audit.RelatedFacet("material", audit.Restriction(enumeration=("1", "3"))).ids(s)
+
+
+@query("SELECT related AS id FROM rels WHERE kind = 'aggregates' UNION SELECT related FROM rels WHERE kind = 'contained' AND relating IN (SELECT related FROM rels WHERE kind = 'aggregates') UNION SELECT related FROM rels WHERE kind = 'nests'")
+def ids_partof(s):
+    return audit.PartOfFacet("Storey").ids(s)
+
+
+@query(f"""SELECT 'parts' AS specification, k AS requirement, e.id AS entity, CASE k WHEN 0 THEN coalesce(o.value IN ('7', '9'), false) WHEN 1 THEN NOT coalesce(c.relating = 7, false) ELSE coalesce(o.value = '7', true) END AS passed
+FROM (SELECT id FROM elements WHERE class = 'Element') e CROSS JOIN (VALUES (0), (1), (2)) t(k) LEFT JOIN {_OWN} o ON o.id = e.id AND o.pset_name = 'Pset_Part' AND o.name = 'Size' LEFT JOIN rels c ON c.kind = 'classification' AND c.related = e.id""")
+def ids_store_audit(s):
+    size = lambda v: audit.PropertyFacet("Pset_Part", "Size", v)
+    return audit.store_audit(s, "parts", [audit.EntityFacet("Element")], [(size(audit.Restriction(enumeration=("7", "9"))), "required"), (audit.RelatedFacet("classification", "7"), "prohibited"), (size("7"), "optional")])
+
+
 # ---------------------------------------------------------------- recipes
 
 _recipe = lambda name, *a, **k: lambda s: RECIPES[name](s, *a, **k)
@@ -227,7 +265,7 @@ def scan_csv_cost(spark, d):
     """Parents of an indented list: nations under their regions, in one order."""
     n = table(spark, d, "nation").select((F.col("n_regionkey") * 100 + F.col("n_nationkey") + 1).cast("bigint").alias("row"), F.lit(1).alias("level"))
     r = table(spark, d, "region").select((F.col("r_regionkey") * 100).cast("bigint").alias("row"), F.lit(0).alias("level"))
-    return planning.parse_csv_hierarchy(r.unionByName(n), "level", "row")
+    return planning.parse_csv_hierarchy(r.unionByName(n), "level", "row", levels=8)
 
 
 def agg_productivity(spark, d):

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
@@ -104,3 +104,17 @@ def salted_join(
         "_salt", F.explode(F.when(_is_hot(right, keys, hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     )
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def global_rank(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
+    """Adds the place of each row in a global order (ties in any order), without one task that sees all rows.
+
+    Rows are range-partitioned and written out, so that their partition is fixed; a rank is the place in the partition plus
+    the sizes of the partitions before it (as many rows as there are partitions).
+    """
+    n = partitions(df.sparkSession)
+    parts = materialize(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("_pid").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(F.lit(1)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.join(F.broadcast(sizes.select("_pid", before.alias("_before"))), "_pid")
+    return parts.withColumn(out, F.col("_before") + F.row_number().over(Window.partitionBy("_pid").orderBy(*order))).drop("_pid", "_before")
