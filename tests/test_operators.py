@@ -10,7 +10,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from trussflow.operators import audit, compare, planning, rules, spatial
+from trussflow.operators import audit, compare, planning, plugins, rules, spatial
 from trussflow.sources import readers, schemas, spf
 from trussflow.streaming import stream
 
@@ -136,6 +136,37 @@ def test_spf_stream(spark, tmp_path):
     assert {r["class"] for r in spark.read.parquet(str(tmp_path / "index")).collect()} == {"IFCORGANIZATION", "IFCWALL"}
 
 
+def test_stream_resolves_late_references(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.ifc").write_text("#1=IFCA(#2,#7);\n")
+    (src / "b.ifc").write_text("#2=IFCB($);\n")
+    got = stream.resolve_references(stream.read_instances(spark, str(src), files_per_trigger=1), str(tmp_path / "out"))
+    assert sorted(map(tuple, got.collect())) == [(1, 2, True), (1, 7, False)]
+
+
+def test_plugins(spark):
+    reg, seen = plugins.Registry(), []
+    reg.register("double")(lambda df, by=2: df.withColumn("v", F.col("v") * by))
+    reg.on("*", lambda name, df, settings: seen.append((name, settings)))
+    reg.on("double", lambda name, df, settings: df.where("v > 2"), after=True)
+    df = spark.createDataFrame([(1, 1), (2, 0), (3, None)], "k int, v int")
+    assert [tuple(r) for r in reg.run("double", df, by=3).collect()] == [(1, 3)] and seen == [("double", {"by": 3})]
+    with pytest.raises(ValueError):
+        reg.run("none", df)
+    got = sorted(map(tuple, plugins.foreach(df.na.fill(0), "k", lambda row: 6 // row["v"]).collect()))
+    assert got == [(1, "6", None), (2, None, "ZeroDivisionError: integer division or modulo by zero"), (3, None, "ZeroDivisionError: integer division or modulo by zero")]
+
+
+def test_presets(spark, data):
+    from trussflow.model import test_model as graph
+    from trussflow.plans.selector import Selector
+
+    s = Selector(graph(spark, data))
+    t = plugins.presets(s.select, s.path, {"Customers": ("Customer", "Customer, AcctBal>0", {"Region": "nation.region.Name", "Orders": "orders.count"})})
+    assert t["Customers"].columns == ["id", "name", "Region", "Orders"] and t["Customers"].where("Region is null").count() == 0
+
+
 def test_other_sources(spark, tmp_path):
     assert [readers.guess_format(x) for x in ("a.IFC", "b.ifczip", "c.xer", "dir")] == ["spf", "zip", "xer", "parquet"]
     (tmp_path / "p.xer").write_text("ERMHDR\n%T\tTASK\n%F\tid\tname\n%R\t1\tDig\n%R\t2\tPour\n%E\n")

@@ -151,6 +151,18 @@ class Store:
         old = self.psets.where(F.col("pset_name") == pset).join(which.select("id").distinct(), "id", "left_semi").select(*self.psets.columns)
         return self.change("remove_pset", "psets", old, None)
 
+    def set_value(self, which: DataFrame, path: str, value: str | None) -> Store:
+        """Sets what a path addresses: ``class``, a column of the elements, or ``Set.Property`` (created if not there)."""
+        if path == "class":
+            return self.reassign_class(which, value)
+        if path in self.elements.columns and path != "id":
+            kind = dict(self.elements.dtypes)[path]
+            return self.edit(which, {path: F.lit(value).try_cast(kind)}, "set_value")
+        if "." in path:
+            pset, prop = path.split(".", 1)
+            return self.edit_pset(which, pset, {prop: value}, "set_value")
+        raise ValueError(f"no such path: {path}")
+
     def call(self, function: str, **settings) -> Store:
         """A function of the mutation interface by name (``module.verb_object``), resolved by its verb and module.
 

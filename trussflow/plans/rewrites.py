@@ -117,6 +117,11 @@ def mutate_edit_pset(s):
     return s.call("pset.edit_pset", products=_odd(s), pset="Pset_Own", properties={"Weight": None, "Note": "x"}).psets
 
 
+@query(f"SELECT id, 'Pset_Own' AS pset_name, 'Note' AS name, 'n' AS value FROM {_ODD}")
+def set_value(s):
+    return s.set_value(_odd(s), "Pset_Own.Note", "n").set_value(_odd(s), "z", "1.5").psets.where("name = 'Note'")
+
+
 @query("SELECT id, class, name, predefined_type, z FROM elements")
 def mutate_undo_redo(s):
     s.edit(_odd(s), {"name": F.lit("x")}).remove(_odd(s))

@@ -67,3 +67,21 @@ def upsert_index(batches: DataFrame, path: str) -> None:
         df.select("class", "id").write.mode("append").partitionBy("class").parquet(path)
 
     batches.writeStream.foreachBatch(write).option("checkpointLocation", path.rstrip("/") + "-state").trigger(availableNow=True).start().awaitTermination()
+
+
+def resolve_references(instances: DataFrame, path: str) -> DataFrame:
+    """src, dst, resolved: references of a stream of instances, held against all instances that have arrived.
+
+    Each micro-batch appends its ids and its references; which end is still missing is decided when the result is read, so a
+    reference to an instance that arrives later needs no state in memory.
+    """
+
+    def write(df: DataFrame, epoch: int) -> None:
+        df.select("id").write.mode("append").parquet(f"{path}/ids")
+        df.select(F.col("id").alias("src"), F.explode("refs").alias("dst")).write.mode("append").parquet(f"{path}/refs")
+
+    instances.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    spark = instances.sparkSession
+    ids = spark.read.schema("id long").parquet(f"{path}/ids").distinct().select(F.col("id").alias("dst"), F.lit(True).alias("there"))
+    refs = spark.read.schema("src long, dst long").parquet(f"{path}/refs")
+    return refs.join(ids, "dst", "left").select("src", "dst", F.coalesce("there", F.lit(False)).alias("resolved"))
