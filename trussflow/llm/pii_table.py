@@ -313,8 +313,16 @@ def _family(r: random.Random) -> str:
     return s
 
 
+_ON = "B Br C Ch D Dm F Fr G Gw H I J K Kw L M N O P Pr R Ru S Sh Si T Th U V W X Y Z Ł Ş É Ö".split()
+_MID = "a e i o u ai ei ua io á é ü ı ö".split()
+_END = "n na ra l la m mi r ris s sa t ta ko ne nne dh d da w ld vin bert mond lie lle ck ga ya".split()
+
+
 def _given(r: random.Random) -> str:
-    return r.choice(GIVEN) if r.random() < 0.75 else (r.choice(_A) + r.choice(["a", "o", "e", "ian", "ik", "ina"]))
+    """A listed name, or one made up from sounds."""
+    if r.random() < 0.55:
+        return r.choice(GIVEN)
+    return r.choice(_ON) + r.choice(_MID) + (r.choice("bdfgjklmnprstvz") + r.choice(_MID) if r.random() < 0.5 else "") + r.choice(_END)
 
 
 #: Forms of address by language. "M." is one in French and an initial elsewhere.
