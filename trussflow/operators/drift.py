@@ -76,7 +76,6 @@ def changes(exports: DataFrame, metadata: DataFrame) -> DataFrame:
     ``matches`` is the number of records that support a renaming, null for other changes. Values are compared on
     aggregates (least and greatest raw value per record and field), so copies of a record never multiply.
     """
-    spark = exports.sparkSession
     rows = materialize(path_rows(exports.select("file_id", "global_id", "payload")), "paths")
     pairs = file_order(metadata)
     pairs = pairs.where("prev_id is not null").select("file_id", "prev_id", "schema_key", "prev_schema")
@@ -109,7 +108,6 @@ def changes(exports: DataFrame, metadata: DataFrame) -> DataFrame:
     out = renamed
     for part in (added, removed, retyped, schema):
         out = out.unionByName(part)
-    assert spark is out.sparkSession
     return out
 
 

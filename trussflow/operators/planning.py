@@ -50,7 +50,7 @@ def critical_path(tasks: DataFrame, edges: DataFrame, max_rounds: int = 10_000)
     gap = F.when(kind == "SS", lag).when(kind == "FF", F.col("dp") + lag - F.col("ds")).when(kind == "SF", lag - F.col("ds")).otherwise(F.col("dp") + lag)
     e = materialize(e.select("pred", "succ", gap.alias("gap")), "links")
 
-    def settle(times: DataFrame, a: str, b: str, sign: int) -> DataFrame:
+    def settle(times: DataFrame, a: str, b: str) -> DataFrame:
         moved = times
         for _ in range(max_rounds):
             push = moved.select(F.col("id").alias(a), F.col("t").alias("from")).join(e, a).groupBy(F.col(b).alias("id")).agg(F.max(F.col("from") + F.col("gap")).alias("new"))
@@ -60,11 +60,11 @@ def critical_path(tasks: DataFrame, edges: DataFrame, max_rounds: int = 10_000)
                 return times
         raise ValueError("the task network has a loop")
 
-    early = settle(tasks.select("id", F.lit(0.0).alias("t")), "pred", "succ", 1)
+    early = settle(tasks.select("id", F.lit(0.0).alias("t")), "pred", "succ")
     finish = early.join(tasks, "id").agg(F.max(F.col("t") + F.col("duration")).alias("end"))
     end = finish.first()["end"] or 0.0
     # the same relaxation on the reversed network gives the time that must remain after each start
-    tail = settle(tasks.select("id", F.col("duration").alias("t")), "succ", "pred", -1)
+    tail = settle(tasks.select("id", F.col("duration").alias("t")), "succ", "pred")
     r = tasks.join(early.withColumnRenamed("t", "early_start"), "id").join(tail.withColumnRenamed("t", "tail"), "id")
     r = r.withColumns({"early_finish": F.col("early_start") + F.col("duration"), "late_start": F.lit(end) - F.col("tail")})
     r = r.withColumns({"late_finish": F.col("late_start") + F.col("duration"), "total_float": F.col("late_start") - F.col("early_start")})
