@@ -128,6 +128,38 @@ def mesh_quantities(df: DataFrame, key: str = "id") -> DataFrame:
     return df.select(key, "verts", "faces").mapInPandas(run, f"{key} {kind}, volume double, area double, " + ", ".join(f"{m}{a} double" for m in ("min", "max") for a in AXES))
 
 
+def mesh_areas(df: DataFrame, key: str = "id", tilt: float = 45.0) -> DataFrame:
+    """key, top_area, side_area, footprint_area of triangle meshes.
+
+    Top faces point up within ``tilt`` degrees, side faces lie beyond it from either vertical; the footprint is the area of
+    all upward faces seen from above, which is exact for shapes without overhang. Null or empty meshes have nulls.
+    """
+    limit = float(np.cos(np.radians(tilt)))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for k, verts, faces in zip(pdf[key], pdf["verts"], pdf["faces"]):
+                if verts is None or faces is None or not len(verts) or not len(faces):
+                    out.append((k, None, None, None))
+                    continue
+                v = np.asarray(verts, float).reshape(-1, 3)
+                f = np.asarray(faces, int).reshape(-1, 3)
+                n = np.cross(v[f[:, 1]] - v[f[:, 0]], v[f[:, 2]] - v[f[:, 0]]) / 2
+                area = np.linalg.norm(n, axis=1)
+                up = np.divide(n[:, 2], area, out=np.zeros_like(area), where=area > 0)
+                out.append((k, float(area[up > limit].sum()), float(area[np.abs(up) <= limit].sum()), float(n[:, 2].clip(0).sum())))
+            yield pd.DataFrame(out, columns=[key, "top_area", "side_area", "footprint_area"])
+
+    return df.select(key, "verts", "faces").mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, top_area double, side_area double, footprint_area double")
+
+
+def shape_summary(df: DataFrame, key: str = "id") -> DataFrame:
+    """key, n_verts, n_faces, total, least, most: what a comparison of shapes looks at, by array functions alone."""
+    total = F.aggregate("verts", F.lit(0.0), lambda a, x: a + x)
+    return df.select(key, (F.size("verts") / 3).cast("int").alias("n_verts"), (F.size("faces") / 3).cast("int").alias("n_faces"), total.alias("total"), F.array_min("verts").alias("least"), F.array_max("verts").alias("most"))
+
+
 def box_mesh(df: DataFrame, key: str = "id") -> DataFrame:
     """key, verts, faces of boxes, as twelve triangles."""
     corners = [(x, y, z) for z in ("minz", "maxz") for y in ("miny", "maxy") for x in ("minx", "maxx")]

@@ -377,6 +377,20 @@ def agg_qto(spark, d):
     return q.select("id", F.round("volume", 6).alias("volume"), F.round("area", 6).alias("area"))
 
 
+@query(f"SELECT id, 6.0::DOUBLE AS top_area, 20.0::DOUBLE AS side_area, 6.0::DOUBLE AS footprint_area FROM {_box_sql('R')}")
+def agg_footprint(spark, d):
+    a = spatial.mesh_areas(spatial.box_mesh(_boxes(spark, d, "R")))
+    return a.select("id", *[F.round(c, 6).alias(c) for c in ("top_area", "side_area", "footprint_area")])
+
+
+@query(f"SELECT DISTINCT id, 'changed' AS status FROM {_box_sql('R')} WHERE id % 3 = 0")
+def join_diff_shape(spark, d):
+    old = _boxes(spark, d, "R").groupBy("id").agg(*[F.min(c).alias(c) for c in spatial.BOX])
+    new = old.withColumn("maxz", F.when(F.col("id") % 3 == 0, F.col("maxz") + 1).otherwise(F.col("maxz") + 1e-9))
+    summary = lambda b: spatial.shape_summary(spatial.box_mesh(b))
+    return compare.diff(summary(old), summary(new), "id", 1e-6).select("id", "status")
+
+
 # ---------------------------------------------------------------- reports and aggregates
 
 _DEC = "CAST(sum(CAST({0} AS DECIMAL(28,6))) AS DOUBLE)"
