@@ -41,3 +41,13 @@ def test_very_long_text_is_processed_whole(spark):
     text = "Weather dry, 12 people fixed valves in zone K. " * 20_000 + "Checked by Anna Vandermeer after the handover."
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert [(r.kind, r.found) for r in pii.find(df).collect()] == [("name", "Anna Vandermeer")]
+
+
+def test_spans_of_long_texts_are_not_cut():
+    tagger = pii.Tagger(*pii.train())
+    line = "Call +44 20 7946 0123 or write to anna.vandermeer@corvale.test.\n"
+    for shift in range(0, 24, 3):
+        text = "x " * shift + line * 400
+        want = [text.index(line) + k * len(line) + line.index(s) for k in range(400) for s in ("+44", "anna.")]
+        assert [a for a, _, _ in tagger.spans([text])[0]] == want
+        assert {text[a:b] for a, b, _ in tagger.spans([text])[0]} == {"+44 20 7946 0123", "anna.vandermeer@corvale.test"}

@@ -5,8 +5,8 @@ the exact gradient (forward-backward in numpy) and sent to the executors. Docume
 are turned into hashed features by array arithmetic and decoded by Viterbi over many documents at once. Spans then pass an
 exact check of their form (an email holds an at sign or its dodge, a phone number 7 to 15 digits, and so on).
 
-Defined results: null and empty texts have no spans, and a null text stays null; texts of any length are processed whole
-(long ones are decoded in stretches cut at token bounds); repeated rows give repeated spans; positions are 1-based characters.
+Defined results: null and empty texts have no spans, and a null text stays null; texts of any length are decoded
+whole, in time and memory in proportion to their tokens; repeated rows give repeated spans; positions are 1-based characters.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ KINDS = ["name", "email", "phone", "id_number", "address"]
 LABELS = 1 + 2 * len(KINDS)
 TRAIN_ROWS, EPOCHS, BATCH, RATE, DECAY = 6_000, 7, 60, 0.25, 2e-6
 DIM = 1 << 17
-#: Tokens decoded in one stretch at most, and tokens taken together.
+#: Steps after which scores are rescaled (a block of 256 texts so long is decoded at once), and tokens taken together.
 STRETCH, TOGETHER = 1_500, 30_000
 
 _TOKEN = re.compile(r"\n|[^\W\d_]+|\d+|\S")
@@ -228,11 +228,15 @@ def train(rows: int = TRAIN_ROWS, epochs: int = EPOCHS, seed: int = 7) -> tuple[
 
 
 def viterbi(em: np.ndarray, trans: np.ndarray, stretches: list[tuple[int, int]]) -> np.ndarray:
-    """Best labels of every position; stretches of like length are decoded together."""
+    """Best labels of every position; stretches of like length are decoded together, a very long one by itself."""
     best = np.zeros(len(em), np.int8)
     todo = sorted((s for s in stretches if s[1] > s[0]), key=lambda s: s[1] - s[0])
-    for i in range(0, len(todo), 256):
-        part = todo[i : i + 256]
+    i = 0
+    while i < len(todo):
+        j = i + 1
+        while j < min(len(todo), i + 256) and (j + 1 - i) * (todo[j][1] - todo[j][0]) <= 256 * STRETCH:
+            j += 1
+        part, i = todo[i:j], j
         size, longest = len(part), part[-1][1] - part[-1][0]
         pos = np.zeros((size, longest), np.int64)
         length = np.array([b - a for a, b in part])
@@ -257,6 +261,8 @@ def viterbi(em: np.ndarray, trans: np.ndarray, stretches: list[tuple[int, int]])
             back[t][:, insides] = np.where(a > b, begins, insides)
             nxt += em[pos[:, t]]
             score = np.where((length > t)[:, None], nxt, score)
+            if t % STRETCH == 0:  # else the sum outgrows the digits of a float
+                score -= score.max(1, keepdims=True)
         label = score.argmax(1)
         rows = np.arange(size)
         for t in range(longest - 1, -1, -1):
@@ -346,8 +352,7 @@ class Tagger:
                 block += self.weights[f]
             b = min(len(ids), a + TOGETHER)
             em[a:b] = block[a - lo : b - lo]
-        cuts = [(c, min(c + STRETCH, b)) for a, b in bounds for c in range(a, b, STRETCH)]
-        labels = viterbi(em, self.trans, cuts)
+        labels = viterbi(em, self.trans, bounds)
         result = []
         for text, (a, b), begin in zip(texts, bounds, starts):
             found, k = [], a
