@@ -133,6 +133,20 @@ def test_identity_settles_open_units(spark):
     assert got[4].unit_source is None and got[5].canon is None
 
 
+def test_identity_settles_each_open_row_by_itself(spark):
+    q = [
+        (1, 1, 7, "YoungModulus", "210", "GPa", None), (2, 1, 7, "ShearModulus", "80.77", None, None), (3, 1, 7, "ShearModulus", "80770", None, None), (3, 1, 7, "ShearModulus", "80770", None, None), (4, 1, 7, "PoissonRatio", "0.3", None, None),
+        (5, 1, 8, "YoungModulus", "210", "GPa", None), (6, 1, 8, "YoungModulus", "210000", None, None), (7, 1, 8, "ShearModulus", "80.77", "GPa", None), (8, 1, 8, "PoissonRatio", "0.3", None, None),
+        (9, 1, 9, "YoungModulus", "210000", None, None), (10, 1, 9, "PoissonRatio", "0.3", None, None), (None, 1, 8, "ShearModulus", "80770", None, None),
+    ]
+    f = spark.createDataFrame([], "file_id long, unit_type string, unit_name string, unit_scale double")
+    got = units.common_units(spark.createDataFrame(q, QTY), f).where("name <> 'PoissonRatio'").collect()
+    assert len(got) == 9
+    assert {(r.qty_id, r.unit_source, r.canon) for r in got} == {
+        (1, "column", 210000), (2, "identity", 80770), (3, "identity", 80770), (5, "column", 210000), (6, "identity", 210000), (7, "column", 80770), (9, None, None), (None, "identity", 80770),
+    }
+
+
 def test_units_empty(spark):
     assert _canon(spark, []) == {}
 

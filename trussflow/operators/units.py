@@ -157,32 +157,47 @@ def resolve(quantities: DataFrame, file_units: DataFrame) -> DataFrame:
     return q.select("qty_id", "file_id", "ifc_id", "name", "kind", "number", "unit_source", factor.alias("factor"), open_.alias("unit_open"))
 
 
-def identity_units(resolved: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """file_id, ifc_id, name, solved_factor, residual, ambiguous for the open values the identity settles.
+#: The quantities of the identity, in its order.
+IDENTITY = ("YoungModulus", "ShearModulus", "PoissonRatio")
 
-    Each element enters with one value per quantity (aggregated before the shuffle, a declared one before an open one), so
-    a row tries at most 6 * 6 * 2 combinations. A solution is ambiguous if another combination's residual is within
-    ``tolerance`` of it; one whose own residual exceeds ``tolerance`` is not taken.
+
+def identity_partners(resolved: DataFrame) -> DataFrame:
+    """file_id, ifc_id and, for each quantity of the identity, the number and factor (null if open) its partners take.
+
+    One value per quantity and element, aggregated before the shuffle: a declared one before an open one. Elements without
+    open values, or without one of the quantities, are left out.
+    """
+    ok = resolved.where(F.col("name").isin(*IDENTITY) & (F.col("number") > 0) & F.col("file_id").isNotNull() & F.col("ifc_id").isNotNull() & (F.col("factor").isNotNull() | F.col("unit_open")))
+    best = [F.max(F.when(F.col("name") == n, F.struct(F.col("factor").isNotNull().alias("declared"), "qty_id", "number", "factor"))).alias(n) for n in IDENTITY]
+    per = ok.groupBy("file_id", "ifc_id").agg(F.bool_or("unit_open").alias("any_open"), *best)
+    per = per.where(" and ".join(["any_open", *(f"{n} is not null" for n in IDENTITY)]))
+    return per.select("file_id", "ifc_id", *[F.struct(f"{n}.number", f"{n}.factor").alias(n) for n in IDENTITY])
+
+
+def identity_factor(joined: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """Adds solved_factor, residual and ambiguous to the open rows that carry their element's ``identity_partners``.
+
+    Each open row is solved by itself, with its own number and the partners of the two other quantities, so several rows of
+    one quantity may have different units; a row tries at most 6 * 6 * 2 combinations. A solution is ambiguous if another
+    combination's residual is within ``tolerance`` of it; one whose own residual exceeds ``tolerance`` is not taken.
     """
-    names = ("YoungModulus", "ShearModulus", "PoissonRatio")
-    ok = resolved.where(F.col("name").isin(*names) & (F.col("number") > 0) & F.col("file_id").isNotNull() & F.col("ifc_id").isNotNull() & (F.col("factor").isNotNull() | F.col("unit_open")))
-    per = ok.groupBy("file_id", "ifc_id").agg(*[F.max(F.when(F.col("name") == n, F.struct(F.col("factor").isNotNull().alias("declared"), "qty_id", "number", "factor"))).alias(n) for n in names])
-    per = per.where(" and ".join(f"{n} is not null" for n in names)).where("not YoungModulus.declared or not ShearModulus.declared")
 
     def options(n: str) -> Column:
-        kind = QUANTITIES[n][0]
-        return F.when(F.col(f"{n}.declared"), F.array(F.col(f"{n}.factor"))).otherwise(F.array(*[F.lit(x) for x in CANDIDATES[kind]]))
+        tried = F.array(*[F.lit(x) for x in CANDIDATES[QUANTITIES[n][0]]])
+        return F.when((F.col("name") == n) | F.col(f"{n}.factor").isNull(), tried).otherwise(F.array(F.col(f"{n}.factor")))
 
-    e, g, nu = (F.col(f"{n}.number") for n in names)
-    combos = F.flatten(F.transform(options(names[0]), lambda a: F.flatten(F.transform(options(names[1]), lambda b: F.transform(options(names[2]), lambda c: F.struct(
+    e, g, nu = (F.when(F.col("name") == n, F.col("number")).otherwise(F.col(f"{n}.number")) for n in IDENTITY)
+    combos = F.flatten(F.transform(options(IDENTITY[0]), lambda a: F.flatten(F.transform(options(IDENTITY[1]), lambda b: F.transform(options(IDENTITY[2]), lambda c: F.struct(
         F.abs(F.log(e * a) - F.log(g * b) - F.log(1 + nu * c) - F.lit(math.log(2))).alias("residual"), a.alias("YoungModulus"), b.alias("ShearModulus"), c.alias("PoissonRatio"))
     )))))
-    ranked = per.withColumn("r", F.array_sort(combos))
-    first, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))
-    solved = ranked.where(first["residual"] <= tolerance)
-    parts = F.array(*[F.struct(F.lit(n).alias("name"), first[n].alias("solved_factor"), F.col(f"{n}.declared").alias("declared")) for n in names])
-    ambiguous = F.coalesce(second["residual"] - first["residual"] <= tolerance, F.lit(False))
-    return solved.select("file_id", "ifc_id", first["residual"].alias("residual"), ambiguous.alias("ambiguous"), F.inline(parts)).where("not declared").drop("declared")
+    ranked = joined.withColumn("_r", F.when(F.col(IDENTITY[0]).isNotNull(), F.array_sort(combos)))
+    first, second = F.get("_r", F.lit(0)), F.get("_r", F.lit(1))
+    taken = first["residual"] <= tolerance
+    own = F.coalesce(*[F.when(F.col("name") == n, first[n]) for n in IDENTITY])
+    return ranked.withColumns({
+        "solved_factor": F.when(taken, own), "residual": F.when(taken, first["residual"]),
+        "ambiguous": F.when(taken, F.coalesce(second["residual"] - first["residual"] <= tolerance, F.lit(False))),
+    }).drop("_r", *IDENTITY)
 
 
 def common_units(quantities: DataFrame, file_units: DataFrame) -> DataFrame:
@@ -191,8 +206,9 @@ def common_units(quantities: DataFrame, file_units: DataFrame) -> DataFrame:
     ``unit_source`` is ``identity`` where the physical identity settled the unit. Values left without unit have nulls.
     """
     r = resolve(quantities, file_units)
-    solved = identity_units(r)
-    r = lookup_join(r.withColumn("_open", F.when(F.col("unit_open"), F.col("ifc_id"))), solved.withColumnRenamed("ifc_id", "_open"), ["file_id", "_open", "name"])
+    asks = F.col("unit_open") & F.col("name").isin(*IDENTITY) & (F.col("number") > 0)
+    r = lookup_join(r.withColumn("_open", F.when(asks, F.col("ifc_id"))), identity_partners(r).withColumnRenamed("ifc_id", "_open"), ["file_id", "_open"])
+    r = identity_factor(r)
     factor = F.coalesce("factor", F.when(F.col("unit_open"), F.col("solved_factor")))
     source = F.coalesce("unit_source", F.when(F.col("unit_open") & F.col("solved_factor").isNotNull(), F.lit("identity")))
     canon = F.create_map(*[F.lit(x) for n, (_, _, c) in QUANTITIES.items() for x in (n, c)])
