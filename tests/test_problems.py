@@ -217,6 +217,11 @@ def test_descendants(spark):
     assert rows(hierarchy.descendants(_wbs(spark, e))) == [(1, 3, 2), (2, 1, 1), (3, 0, 0), (4, 0, 0)]
 
 
+def test_descendant_pairs(spark):
+    e = [(1, "a", None, None), (2, "b", "1", None), (3, "c", "2", None), (4, "d", "1", None)]
+    assert rows(hierarchy.descendant_pairs(_wbs(spark, e + [(5, "l", "5", None), (1, "a", None, None)]))) == [(1, 2, 1), (1, 3, 2), (1, 4, 1), (2, 3, 1)]
+
+
 # ---------------------------------------------------------------- orphans
 
 

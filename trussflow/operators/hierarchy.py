@@ -127,6 +127,12 @@ def ancestor_pairs(nodes: DataFrame, separator: str = "/") -> DataFrame:
     return pairs.select(F.col("ancestor").cast("bigint").alias("ancestor"), F.col("id").alias("descendant"), (F.col("depth") - F.col("at")).alias("steps"))
 
 
+def descendant_pairs(wbs: DataFrame) -> DataFrame:
+    """object_id, descendant_id, steps: every descendant of every entry outside loops (an entry is none of its own)."""
+    pairs = ancestor_pairs(latest_nodes(wbs)).where("steps > 0")
+    return pairs.select(F.col("ancestor").alias("object_id"), F.col("descendant").alias("descendant_id"), "steps")
+
+
 def descendants(wbs: DataFrame) -> DataFrame:
     """object_id, n_descendants, max_steps: counted on the ancestor pairs."""
     return ancestor_pairs(latest_nodes(wbs)).groupBy(F.col("ancestor").alias("object_id")).agg((F.count("*") - 1).alias("n_descendants"), F.max("steps").alias("max_steps"))

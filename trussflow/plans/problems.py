@@ -61,6 +61,10 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(table(spark, d, "wbs"))
 
 
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.descendant_pairs(table(spark, d, "wbs"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return orphans.model_orphans(*(table(spark, d, t) for t in ("psets", "quantities", "bcf_references", "id_map", "bcf_documents")))
 
@@ -75,7 +79,7 @@ QUERIES = {
     **{f"p2_{n}": _p2(n) for n in ("documents", "topics", "files", "comments", "viewpoints", "references")},
     "p3_found": p3_found, "p3_units": p3_units,
     "p4_found": p4_found, "p4_wide": p4_wide,
-    "p5_found": p5_found, "p5_descendants": p5_descendants,
+    "p5_found": p5_found, "p5_descendants": p5_descendants, "p5_pairs": p5_pairs,
     "p6_found": p6_found, "p6_report": p6_report,
 }
 
@@ -145,6 +149,11 @@ pairs AS (SELECT id, depth, unnest(ids) AS ancestor, unnest(range(length(ids)))
 SELECT ancestor AS object_id, count(*) - 1 AS n_descendants, CAST(max(depth - pos) AS BIGINT) AS max_steps FROM pairs GROUP BY ancestor
 """
 
+SQL["p5_pairs"] = _WBS + """
+pairs AS (SELECT id, depth, unnest(ids) AS ancestor, unnest(range(length(ids))) AS pos FROM walk)
+SELECT ancestor AS object_id, id AS descendant_id, depth - pos AS steps FROM pairs WHERE depth > pos
+"""
+
 SQL["p6_found"] = f"""
 WITH pid AS (SELECT ifc_id AS k, bool_or(deleted_at IS NULL) AS live, min(added_at) AS first_ FROM id_map GROUP BY 1),
 pdoc AS (SELECT {_GUID.format('guid')} AS k, bool_or(deleted_at IS NULL) AS live, min(added_at) AS first_ FROM bcf_documents GROUP BY 1),
