@@ -87,6 +87,28 @@ def test_reparameterised(spark):
     assert got == {(0, 100): 4, (2, 100): 1}
 
 
+def _changed(spark, item, *texts):
+    return {r.doc_id: (r.template_run, r.changed) for r in c.reparameterised(_docs(spark, *texts), _items(spark, item)).collect()}
+
+
+def test_exchanged_names(spark):
+    item = "After the handover Anna Vandermeer of Corvale Works asks Paul Hill whether the doors of Tannery House were counted by Anna Vandermeer again."
+    new = {"Anna": "Ruth", "Vandermeer": "Okafor", "Corvale": "Delmont", "Paul": "Igor", "Hill": "Brandt", "Tannery": "Harbour"}
+    other = item
+    for a, b in new.items():
+        other = other.replace(a, b)
+    once = item.replace("Paul", "Igor")
+    assert _changed(spark, item, other, item, once, other.replace("asks", "tells")) == {0: (23, 8), 2: (23, 1), 3: (14, 5)}
+
+
+def test_a_run_goes_on_after_an_inconsistent_slot(spark):
+    item = "the survey of 12 columns in core 7 was sent to the lead engineer before 12 beams were moved to the yard of the plant for the next five weeks"
+    w = c.words(item)
+    mixed = " ".join({3: "40", 15: "50"}.get(k, x) for k, x in enumerate(w))
+    assert w[3] == w[15] == "12" and _changed(spark, item, mixed) == {0: (len(w) - 4, 1)}
+    assert dict(enumerate(c._exchanges([("a", "1"), ("b", "b"), ("c", "1"), ("b", "b")]))) == {0: (2, 1), 1: (3, 1)}
+
+
 def test_empty_tables(spark):
     assert c.leaks(_docs(spark, "a").where("false"), _items(spark, ITEM)).count() == 0
     assert c.leaks(_docs(spark, ITEM), _items(spark, ITEM).where("false")).count() == 0

@@ -3,9 +3,10 @@
 Texts are normalised (case, punctuation, markup, line prefixes, line-end hyphens, typographic variants) to words; numbers,
 units and names are replaced by typed placeholders. The items are the stated query set: their template windows form the
 build side, in blocks of BLOCK items that are broadcast one after another, and every document is probed whole against each
-block, so the corpus is never shuffled. A window hit is a seed. Seeds whose slots hold the item's own words are extended by
-furthest-reaching alignment to decide an exact leak; seeds whose slots differ are checked for a consistent exchange of slot
-values, which reveals re-parameterised items.
+block, so the corpus is never shuffled. Names are told by capitals, which disguises change, so they are slots only in a second
+reading, and only where exchanged slots are sought. A window hit is a seed. Seeds whose slots hold the item's own words are extended by
+furthest-reaching alignment to decide an exact leak; along seeds whose slots differ the longest run with a consistent exchange
+of slot values is taken, which reveals re-parameterised items.
 
 A leak is a run of at least RUN words of the item, or a stretch of at least STRETCH item words with at most one word in
 EVERY replaced, left out or added. Any such stretch holds WINDOW equal words in a row (24 words with 3 edits leave 21 words
@@ -21,6 +22,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,10 +49,35 @@ _COMBINING = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u
 _UNITS = {"mm", "cm", "m", "km", "m2", "m3", "millimetres", "millimetre", "centimetres", "metres", "metre", "kilograms", "kg", "kilogramm", "kilos", "percent", "w/m2k", "mpa", "kn", "inch", "inches", "feet", "ft"}
 
 
+#: Titles whose full stop ends no sentence (as that of an initial).
+_TITLES = {"mr", "mrs", "ms", "dr", "prof", "st", "ing", "dipl"}
+
+
 def words(text: str | None, numbered: bool = False) -> list[str]:
     """Normalised words of a text. ``numbered``: numbers and letters of lists and clauses before lines are dropped too."""
+    return _split(_clean(text, numbered).casefold())
+
+
+def names(text: str | None, numbered: bool = False) -> list[bool]:
+    """Which words of a text are names: capitalised ones, at the start of a sentence only before another capitalised one."""
+    t = _clean(text, numbered)
+    if not t.isascii():
+        t = _COMBINING.sub("", unicodedata.normalize("NFKD", t)).replace("‐", "").replace("‑", "")
+    t = t.replace("-", "")
+    capital, starts, last, before = [], [], 0, ""
+    for m in _WORD.finditer(t):
+        w, gap = m.group(), t[last : m.start()]
+        short = len(before) == 1 or before.casefold() in _TITLES
+        starts.append(not before or any(c in "!?:" or c == "." and not short for c in gap))
+        capital.append(w[0].isupper())
+        last, before = m.end(), w
+    follows = [c and not s for c, s in zip(capital[1:], starts[1:])] + [False]
+    return [c and (not s or f) for c, s, f in zip(capital, starts, follows)]
+
+
+def _clean(text: str | None, numbered: bool) -> str:
     if not text:
-        return []
+        return ""
     t = html.unescape(text) if "&" in text else text
     if "\r" in t:
         t = t.replace("\r\n", "\n").replace("\r", "\n")
@@ -60,21 +87,29 @@ def words(text: str | None, numbered: bool = False) -> list[str]:
         t = _TAG.sub(" ", t)
     if "](" in t:
         t = _LINK.sub(" ", t)
-    t = _HYPHEN.sub("", (_NUMBERED if numbered else _PREFIX).sub("", t))
-    t = t.casefold()
+    return _HYPHEN.sub("", (_NUMBERED if numbered else _PREFIX).sub("", t))
+
+
+def _split(t: str) -> list[str]:
     if not t.isascii():
         t = _COMBINING.sub("", unicodedata.normalize("NFKD", t)).replace("‐", "").replace("‑", "")
     found = _WORD.findall(t.replace("-", ""))
     return [w if w.isalnum() else _INNER.sub("", w) for w in found]
 
 
-def slot(word: str) -> str:
+def slot(word: str, name: bool = False) -> str:
     """The typed placeholder of a word, or the word."""
     if any(c.isdigit() for c in word):
         return "<n>"
     if word in _UNITS:
         return "<u>"
-    return "<p>" if word.startswith("ifc") else word
+    return "<p>" if name or word.startswith("ifc") else word
+
+
+def _named(text: str, w: list[str], numbered: bool = False) -> list[bool]:
+    """``names``, or none where folding the case changed the count of words."""
+    flags = names(text, numbered)
+    return flags if len(flags) == len(w) else [False] * len(w)
 
 
 class Index:
@@ -83,32 +118,33 @@ class Index:
     Words and placeholders are small integers; a word that no item has is 0, and so is a placeholder that none has.
     """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], with_names: bool = False):
         self.texts: list[tuple[int, list[str], list[int], list[int]]] = []
         self.word_ids: dict[str, int] = {}
         self.slot_ids: dict[str, int] = {}
         self.windows: dict[tuple, dict[tuple, list[tuple[int, int]]]] = {}
-        self.memo: dict[str, tuple[int, int]] = {}
+        self.memo: dict[tuple[str, bool], tuple[int, int]] = {}
         for item_id, text in items:
             w = words(text)
             if item_id is None or len(w) < RUN:
                 continue
             ids = [self.word_ids.setdefault(x, len(self.word_ids) + 1) for x in w]
-            slots = [self.slot_ids.setdefault(slot(x), len(self.slot_ids) + 1) for x in w]
+            flags = _named(text, w) if with_names else [False] * len(w)
+            slots = [self.slot_ids.setdefault(slot(x, f), len(self.slot_ids) + 1) for x, f in zip(w, flags)]
             k = len(self.texts)
             self.texts.append((int(item_id), w, ids, slots))
             for j in range(len(w) - WINDOW + 1):
                 self.windows.setdefault(tuple(slots[j : j + WINDOW]), {}).setdefault(tuple(ids[j : j + WINDOW]), []).append((k, j))
 
-    def encode(self, doc: list[str]) -> tuple[list[int], list[int]]:
+    def encode(self, doc: list[str], flags: list[bool] | None = None) -> tuple[list[int], list[int]]:
         """Word and placeholder numbers of a document's words."""
         memo, ids, slots = self.memo, [], []
         if len(memo) > 1_000_000:
             memo.clear()
-        for w in doc:
-            v = memo.get(w)
+        for key in zip(doc, flags or repeat(False)):
+            v = memo.get(key)
             if v is None:
-                v = memo[w] = (self.word_ids.get(w, 0), self.slot_ids.get(slot(w), 0))
+                v = memo[key] = (self.word_ids.get(key[0], 0), self.slot_ids.get(slot(*key), 0))
             ids.append(v[0])
             slots.append(v[1])
         return ids, slots
@@ -164,10 +200,23 @@ def _leak(doc: list[int], item: list[int], i: int, j: int, n: int) -> tuple[int,
     return best
 
 
-def _scan(doc: list[str], index: Index, exact: bool):
+def _exchanges(pairs: list[tuple[str, str]]) -> Iterator[tuple[int, int]]:
+    """(length, changed) of the longest runs of (word, item word) in which each item word stands for one word."""
+    begin, changed, at = 0, [0], {}
+    for n, (x, y) in enumerate(pairs):
+        seen = at.get(y)
+        if seen is not None and seen[0] != x and seen[1] >= begin:
+            yield n - begin, changed[n] - changed[begin]
+            begin = seen[1] + 1
+        at[y] = x, n
+        changed.append(changed[n] + (x != y))
+    yield len(pairs) - begin, changed[-1] - changed[begin]
+
+
+def _scan(doc: list[str], index: Index, exact: bool, flags: list[bool] | None = None):
     """item number -> (longest run, stretch, edits) for exact leaks, or (run, changed slots) for re-parameterised ones."""
     found: dict[int, tuple] = {}
-    ids, slots = index.encode(doc)
+    ids, slots = index.encode(doc, flags)
     windows, n_words = index.windows, len(doc)
     last: dict[tuple[int, int], int] = {}
     clean = 0  # words in a row whose placeholder some item has
@@ -195,14 +244,12 @@ def _scan(doc: list[str], index: Index, exact: bool):
                     if hit and (k not in found or hit > found[k][1:]):
                         found[k] = (max(n, found.get(k, (0,))[0]), *hit)
                 else:
-                    n, there, changed, fits = 0, {}, 0, True
+                    n = 0
                     while i + n < n_words and j + n < len(item) and slots[i + n] == item_slots[j + n]:
-                        x, y = doc[i + n], item[j + n]
-                        changed += x != y
-                        fits = fits and there.setdefault(y, x) == x
                         n += 1
-                    if n >= RUN and changed and fits and (k not in found or n > found[k][0]):
-                        found[k] = (n, changed)
+                    for run, changed in _exchanges(list(zip(doc[i : i + n], item[j : j + n]))):
+                        if run >= RUN and changed and (k not in found or run > found[k][0]):
+                            found[k] = (run, changed)
     return found
 
 
@@ -225,19 +272,27 @@ def _probe(documents: DataFrame, items: DataFrame, exact: bool, schema: str, col
     docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     out = None
     for block in blocks(items):
-        build = spark.sparkContext.broadcast(Index(block))
+        build = spark.sparkContext.broadcast([Index(block)] if exact else [Index(block), Index(block, with_names=True)])
 
         def run(batches, build=build):
-            index = build.value
+            index = build.value[0]
+
+            def scan(w, text, numbered=False):
+                found = _scan(w, index, exact)
+                if not exact:  # items have the same numbers in both indexes
+                    for k, v in _scan(w, build.value[1], exact, _named(text, w, numbered)).items():
+                        found[k] = max(v, found.get(k, v))
+                return found
+
             for pdf in batches:
                 rows = []
                 for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                     plain = words(text)
-                    found = _scan(plain, index, exact)
+                    found = scan(plain, text)
                     if _HAS_NUMBER.search(text):  # both readings of a number before a line
                         other = words(text, numbered=True)
                         if other != plain:
-                            for k, v in _scan(other, index, exact).items():
+                            for k, v in scan(other, text, numbered=True).items():
                                 found[k] = max(v, found.get(k, v))
                     rows.extend((doc_id, index.texts[k][0], *v) for k, v in found.items())
                 yield pd.DataFrame(rows, columns=columns)
