@@ -556,6 +556,12 @@ def sink_sql_expand(spark, d):
     return report.expand_lists(o, ["day", "flag"])
 
 
+@query("SELECT o_orderkey AS id, a AS day, b AS flag FROM orders, (SELECT unnest([1, 2, 3]) AS a), (SELECT unnest(['x', 'y']) AS b)")
+def sink_sql_expand_all(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("day"), F.array(F.lit("x"), F.lit("y")).alias("flag"))
+    return report.expand_lists(o, ["day", "flag"])
+
+
 # ---------------------------------------------------------------- format language
 
 
@@ -601,6 +607,13 @@ def working_days(spark, d):
     return o.select(F.col("o_orderkey").alias("id"), planning.working_days(start, F.date_add(start, (F.col("o_orderkey") % 40).cast("int"))).alias("days"))
 
 
+@query("""WITH s AS (SELECT o_orderkey AS id, isodow(o_orderdate) AS dow, o_orderkey % 40 + 1 AS n FROM orders)
+SELECT id, CAST(n // 7 * 5 + len(list_filter(range(CAST(n % 7 AS BIGINT)), lambda i: (dow - 1 + i) % 7 < 5)) AS INT) AS days FROM s""")
+def working_days_all(spark, d):
+    start = F.to_date("o_orderdate")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), planning.working_days(start, F.date_add(start, (F.col("o_orderkey") % 40).cast("int"))).alias("days"))
+
+
 @query("""WITH cal AS (SELECT CAST(x AS DATE) AS day, isodow(x) <= 5 AS w FROM generate_series(DATE '1991-01-01', DATE '2003-12-31', INTERVAL 1 DAY) t(x)), idx AS (SELECT *, sum(CASE WHEN w THEN 1 ELSE 0 END) OVER (ORDER BY day) AS i FROM cal)
 SELECT o_orderkey AS id, b.day AS finish FROM orders LEFT JOIN idx a ON a.day = CAST(o_orderdate AS DATE) LEFT JOIN (SELECT * FROM idx WHERE w) b ON b.i = a.i + CASE WHEN a.w THEN 0 ELSE 1 END + o_orderkey % 10""")
 def offset_date(spark, d):
