@@ -92,10 +92,31 @@ def test_nested_tables_and_schema(spark):
     t = nested.bcf_tables(df)
     assert [(r.title, r.parent_key) for r in t["topics"].collect()] == [("x", "A")] and [(r.filename, r.ifcproject) for r in t["files"].collect()] == [("f", None)]
     s = nested.merged_schema(nested.shred(df, "raw_id", "archive_guid", "payload"))
-    assert ("root.topics.topic.header.files.file", "ifcproject", 1, 0) in rows(s)
+    assert ("root.topics.topic.header.files.file", "ifcproject", 1, 0) in rows(s.select("path", "field", "n", "filled"))
     assert nested.bcf_links(df.where("false")).count() == 0
 
 
+def test_nested_plain_entries_and_outer_fields_are_kept(spark):
+    doc = {"topics": [{"guid": "t1", "labels": ["x", None, "y", 7], "note": "n"}], "owners": ["a", "b"], "Markups": [{"Topic": {"Guid": "t2", "Comment": [{"guid": "c1"}]}, "Status": "open", "Comment": [{"guid": "c2"}, {"guid": "c3", "extra": {"deep": {"list": [[1, 2], [3]]}}}]}]}
+    df = spark.createDataFrame([(1, "A", json.dumps(doc))], "raw_id long, archive_guid string, payload string")
+    n = nested.shred(df, "raw_id", "archive_guid", "payload")
+    got = {(r.name, r.parent_key, r.ord, r.v) for r in n.withColumn("v", F.expr("cast(attrs['value'] as string)")).collect()}
+    assert {("labels", "t1", 1, "x"), ("labels", "t1", 3, "y"), ("labels", "t1", 4, "7"), ("owners", "A", 1, "a"), ("owners", "A", 2, "b"), ("list", "c3", 3, "3")} <= got
+    assert {("comment", "t2", 1), ("comment", "t2", 2), ("comment", "t2", 3)} <= {g[:3] for g in got}
+    t = nested.bcf_tables(df)
+    assert [r.outerstatus for r in t["topics"].collect() if r.node_key == "t2"] == ["open"]
+    assert n.select("row_id", "node_no").distinct().count() == n.count() and n.alias("a").join(n.alias("b"), F.expr("a.parent_no = b.node_no")).count() == n.count() - 1
+
+
+def test_nested_columns_follow_the_merged_schema(spark):
+    docs = [{"topics": [{"guid": "t1", "title": "a", "prio": 1, "due": "x"}]}, {"Topics": [{"@Guid": "t2", "Prio": 2.5, "due": 3, "Ord": True, "Guid_": None}]}]
+    df = spark.createDataFrame([(k, "A", json.dumps(d)) for k, d in enumerate(docs)], "raw_id long, archive_guid string, payload string")
+    n = nested.shred(df, "raw_id", "archive_guid", "payload")
+    t = nested.child_table(n, nested.merged_schema(n).collect(), ["topics"], ["root"])
+    assert dict(t.dtypes)["prio"] == "double" and dict(t.dtypes)["ord_field"] == "boolean" and dict(t.dtypes)["due"] == "string"
+    assert rows(t.select("title", "prio", "due", "ord_field")) == [("a", 1.0, '"x"', None), (None, 2.5, "3", True)]
+
+
 def test_very_deep_payload_is_unreadable_not_a_crash(spark):
     deep = '{"a":' * 50_000 + "1" + "}" * 50_000
     df = spark.createDataFrame([(1, "A", deep)], "raw_id long, archive_guid string, payload string")
@@ -169,6 +190,15 @@ def test_pivot_latest_readable_value(spark):
     assert rows(pivot.cells_of(w, d)) == [(1, "Count", "12"), (1, "FireRating", "R 60"), (1, "IsExternal", "true"), (1, "UValue", "245"), (1, "When", "2022-08-04")]
 
 
+def test_pivot_keeps_precision(spark):
+    a = T(2024, 1, 1)
+    p = [(1, 1, "u", "0.0004", a, a), (2, 1, "n", "9007199254740993", a, a), (3, 2, "u", "123456789012345678", a, a), (4, 2, "n", "-9223372036854775808", a, a), (5, 3, "n", "1e3", a, a), (6, 3, "u", "1e400", a, a), (7, 4, "n", "99999999999999999999", a, a)]
+    d = spark.createDataFrame([("u", "real"), ("n", "integer")], "name string, vtype string")
+    w = pivot.wide_table(spark.createDataFrame(p, PSETS), d)
+    assert rows(w.select("ifc_id", "u", "n")) == [(1, 0.0004, 9007199254740993), (2, 123456789012345680.0, -9223372036854775808), (3, None, 1000), (4, None, None)]
+    assert rows(pivot.cells_of(w, d)) == [(1, "n", "9007199254740993"), (1, "u", "0"), (2, "n", "-9223372036854775808"), (2, "u", "123456789012345680000"), (3, "n", "1000")]
+
+
 def test_pivot_empty(spark):
     d = spark.createDataFrame([("A", "label")], "name string, vtype string")
     assert pivot.wide_table(spark.createDataFrame([], PSETS), d).count() == 0

@@ -37,11 +37,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{BLANKS}+|{BLANKS}+$", "")
 
 
-def number(c: Column) -> Column:
-    """Double of a text that matches NUMBER wholly; null otherwise.
+def number_text(c: Column) -> Column:
+    """Plain spelling (digits, at most one full stop, an exponent) of a text that matches NUMBER wholly; '' otherwise.
 
     The last separator is the decimal sign when both occur; repeated separators are groups; a single comma is decimal.
-    Each step uses the one before it once, so the expression stays small.
+    Each step uses the one before it once, so the expression stays small; texts that are plain already skip the steps.
     """
     t = F.regexp_extract(c, f"^({NUMBER})$", 1)
     t = F.regexp_replace(t, "[ '’]", "")
@@ -49,17 +49,23 @@ def number(c: Column) -> Column:
     t = F.regexp_replace(t, ",(?=[\\d,]*\\.)", "")
     t = F.regexp_replace(t, ",(?=\\d{3}(?:,\\d{3})+(?!\\d))|(?<=,\\d{3}),(?=\\d{3})", "")
     t = F.regexp_replace(t, "\\.(?=\\d{3}(?:\\.\\d{3})+(?!\\d))|(?<=\\.\\d{3})\\.(?=\\d{3})", "")
-    return F.translate(t, ",", ".").try_cast("double")
+    return F.when(c.rlike("^[+-]?\\d+(?:\\.\\d+)?$"), c).otherwise(F.translate(t, ",", "."))
+
+
+def number(c: Column) -> Column:
+    """Double of a text that matches NUMBER wholly; null otherwise."""
+    return number_text(c).try_cast("double")
 
 
 def unwrap(c: Column) -> Column:
     """Text without outer blanks, quotes and a type wrapper such as ``IfcLabel('x')``."""
+    plain = c.rlike("^[\\p{L}\\p{N}+-](?:.*[\\p{L}\\p{N}%.)-])?$") & ~F.lower(F.left(c, F.lit(3))).eqNullSafe("ifc")
     t = strip(c)
     for _ in range(2):
         t = strip(F.regexp_replace(t, "(?is)^ifc[a-z0-9_]*\\s*\\((.*)\\)$", "$1"))
         t = strip(F.regexp_replace(t, "(?s)^(['\"])(.*)\\1$", "$2"))
         t = strip(F.regexp_replace(t, "(?s)^[“„‘‚«](.*)[”“’‘»]$", "$1"))
-    return t
+    return F.when(plain, c).otherwise(t)  # most texts need none of the steps
 
 
 def is_empty(c: Column) -> Column:

@@ -6,7 +6,9 @@ fixed positions are projected through type-specific tries to read them.
 
 Defined results: rows with a null entity are left out; an entity whose cells are all unreadable keeps a row of nulls; equal
 times are decided by load time, then row id, then value; names match without case, blanks and punctuation; attribute names
-not in the definitions are ignored; definitions repeated under one key count once.
+not in the definitions are ignored; definitions repeated under one key count once. An integer beyond 64 bits and a real
+beyond the range of a double are unreadable as such; reals keep their full precision in the wide table and are rounded to
+thousandths only where cells are listed as text.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trussflow.functions.text import is_empty, name_key, number, squeeze, unwrap
+from trussflow.functions.text import is_empty, name_key, number_text, squeeze, unwrap
 
 #: Spellings of truth values.
 TRUE = ["true", "t", ".t.", ".true.", "1", "yes", "y", "ja", "j", "oui", "o", "wahr", "vrai", "on"]
@@ -54,11 +56,13 @@ def read_values(df: DataFrame, raw: str, vtype: str) -> DataFrame:
     v = F.col(vtype)
     df = df.withColumn("_t", F.when(v.isNotNull(), unwrap(F.col(raw))))
     df = df.withColumn("_t", F.when(~is_empty(F.col("_t")), F.col("_t")))
-    df = df.withColumn("_low", F.lower("_t")).withColumn("_n", F.when(v.isin("integer", "real"), number(squeeze(F.col("_t"))))).withColumn("_d", F.when(v == "date", squeeze(F.col("_t"))))
+    df = df.withColumn("_low", F.lower("_t")).withColumn("_n", F.when(v.isin("integer", "real"), number_text(squeeze(F.col("_t"))))).withColumn("_d", F.when(v == "date", squeeze(F.col("_t"))))
     low, n = F.col("_low"), F.col("_n")
     boolean = F.when(low.isin(TRUE), "true").when(low.isin(FALSE), "false")
-    integer = F.when((n == F.floor(n)) & (F.abs(n) < 1e18), n.cast("bigint").cast("string"))
-    real = F.when(F.abs(n) < 1e14, F.round(n * 1000).cast("bigint").cast("string"))
+    exact = n.try_cast("decimal(38,9)")  # integers are read exactly, not through a double
+    integer = F.when(exact == F.floor(exact), exact.try_cast("bigint").cast("string"))
+    real = n.try_cast("double")
+    real = F.when(F.abs(real) < float("inf"), real.cast("string"))
     value = F.when(v == "boolean", boolean).when(v == "integer", integer).when(v == "real", real).when(v == "date", read_date(F.col("_d"))).when(v == "label", F.col("_t"))
     return df.withColumn("val", value).drop("_t", "_low", "_n", "_d")
 
@@ -95,17 +99,23 @@ def wide_table(psets: DataFrame, defs: DataFrame, entity: str = "ifc_id") -> Dat
 
     def project(i: int, vtype: str) -> Column:
         c = F.get(F.col("cells"), F.lit(i))
-        return {"boolean": c.try_cast("boolean"), "integer": c.try_cast("bigint"), "real": c.try_cast("double") / 1000, "date": c.try_cast("date")}.get(vtype, c)
+        return {"boolean": c.try_cast("boolean"), "integer": c.try_cast("bigint"), "real": c.try_cast("double"), "date": c.try_cast("date")}.get(vtype, c)
 
     return g.select(entity, *[project(i, v).alias(name) for i, (_, name, v) in enumerate(wanted)])
 
 
+def _thousandths(c: Column) -> Column:
+    """Whole thousandths of a double as digits; beyond 2**53 those of its exact decimal value."""
+    x = F.round(c * 1000)
+    return F.when(F.abs(x) < 9e15, x.try_cast("bigint").cast("string")).otherwise(F.coalesce(x.try_cast("decimal(38,0)").cast("string"), x.cast("string")))
+
+
 def cells_of(wide: DataFrame, defs: DataFrame, entity: str = "ifc_id") -> DataFrame:
     """entity, name, val: the non-null cells of a wide table as canonical text."""
     parts = []
     for _, name, v in definitions(defs):
         c = F.col(f"`{name}`")
-        text = F.round(c * 1000).cast("bigint").cast("string") if v == "real" else c.cast("string")
+        text = _thousandths(c) if v == "real" else c.cast("string")
         parts.append(F.struct(F.lit(name).alias("name"), text.alias("val")))
     if not parts:
         return wide.select(entity, F.lit("").alias("name"), F.lit("").alias("val")).where("false")

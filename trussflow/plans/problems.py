@@ -76,7 +76,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_id_map": p1_id_map, "p1_failed_casts": p1_failed_casts,
     "p2_found": p2_found, "p2_schema": p2_schema,
-    **{f"p2_{n}": _p2(n) for n in ("documents", "topics", "files", "comments", "viewpoints", "references")},
+    **{f"p2_{n}": _p2(n) for n in nested.BCF_TABLES},
     "p3_found": p3_found, "p3_units": p3_units,
     "p4_found": p4_found, "p4_wide": p4_wide,
     "p5_found": p5_found, "p5_descendants": p5_descendants, "p5_pairs": p5_pairs,
