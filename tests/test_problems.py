@@ -47,12 +47,23 @@ def test_drift_empty_tables(spark):
 
 
 def test_consistent_table_reports_failed_casts(spark):
-    e = [(1, k, f"g{k}", json.dumps({"ifc_id": k, "volume": 1.5})) for k in range(4)] + [(2, k, f"g{k}", json.dumps({"step": k, "volume": "much" if k else {"value": 2.5}, "Extra": 1})) for k in range(4)]
+    e = [(1, k, f"g{k}", json.dumps({"ifc_id": k, "volume": 1.5, "layer": "a"})) for k in range(4)] + [(2, k, f"g{k}", json.dumps({"step": k, "volume": "much" if k else {"value": 2.5}, "Extra": 1, "coat": "a"})) for k in range(4)]
+    e += [(2, 9, None, '{"Extra": [1, 2], "volume": {"unit": "m3"}}')]
     t = drift.consistent_table(spark.createDataFrame([*e, e[0]], EXPORTS), _meta(spark, (1, "A"), (2, "A")))
     got = {(r.file_id, r.rec_no): r for r in t.collect()}
-    assert len(got) == t.count() == 8 and got[2, 3].ifc_id == 3 and got[2, 0].volume == 2.5
-    assert got[2, 1].failed == ["volume"] and got[1, 1].failed == [] and got[2, 1].extra == {"Extra": "1"}
-    assert rows(drift.failed_casts(t)) == [(2, "volume", 3)]
+    assert len(got) == t.count() == 9 and got[2, 3].ifc_id == 3 and got[2, 0].volume == 2.5
+    assert [tuple(x) for x in got[2, 1].failed] == [("volume", '"much"')] and got[1, 1].failed == [] and got[2, 1].Extra == 1.0
+    assert {tuple(x) for x in got[2, 9].failed} == {("volume", '{"unit":"m3"}'), ("Extra", "[1,2]")}
+    assert got[1, 1].layer == got[2, 1].layer == "a" and "coat" not in t.columns
+    assert rows(drift.failed_casts(t)) == [(2, "Extra", 1), (2, "volume", 4)]
+
+
+def test_one_shared_record_is_enough_for_a_renaming(spark):
+    e = [(1, 1, "a", '{"x": 1}'), (1, 2, "b", '{"x": 1}'), (2, 1, "a", '{"y": 1, "z": 1}'), (2, 2, "b", '{"z": 2}')]
+    ex, m = spark.createDataFrame(e, EXPORTS), _meta(spark, (1, "A"), (2, "A"))
+    assert rows(drift.changes(ex, m).select("change_kind", "old_name", "new_name")) == [("added", "", "z"), ("renamed", "x", "y")]
+    t = drift.consistent_table(ex, m)
+    assert {r.x if "x" in t.columns else r.y for r in t.where("file_id = 1 or rec_no = 1").collect()} == {1.0}
 
 
 def test_components_match_brute_force(spark):
@@ -154,6 +165,15 @@ def test_identity_settles_open_units(spark):
     assert got[4].unit_source is None and got[5].canon is None
 
 
+def test_identity_chooses_and_contradicts(spark):
+    fu = [(1, "PRESSUREUNIT", "MPa", None), (1, "PRESSUREUNIT", "GPa", None), (2, "PRESSUREUNIT", "GPa", None)]
+    q = [(1, 1, 7, "YoungModulus", "210000", None, None), (2, 1, 7, "ShearModulus", "80.77", "GPa", None), (3, 1, 7, "PoissonRatio", "0.3", None, None), (4, 2, 7, "YoungModulus", "210000", None, None), (5, 2, 7, "ShearModulus", "80.77", "GPa", None), (6, 2, 7, "PoissonRatio", "0.3", None, None)]
+    f = spark.createDataFrame(fu, "file_id long, unit_type string, unit_name string, unit_scale double")
+    got = {r.qty_id: r for r in units.common_units(spark.createDataFrame(q, QTY), f).collect()}
+    assert (got[1].unit_source, got[1].canon, got[1].contradicts) == ("file", 210000, False)  # MPa, not the larger GPa
+    assert (got[4].unit_source, got[4].canon, got[4].contradicts) == ("file", 210000000, True) and got[4].residual > 1
+
+
 def test_identity_settles_each_open_row_by_itself(spark):
     q = [
         (1, 1, 7, "YoungModulus", "210", "GPa", None), (2, 1, 7, "ShearModulus", "80.77", None, None), (3, 1, 7, "ShearModulus", "80770", None, None), (3, 1, 7, "ShearModulus", "80770", None, None), (4, 1, 7, "PoissonRatio", "0.3", None, None),

@@ -37,19 +37,27 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{BLANKS}+|{BLANKS}+$", "")
 
 
-def number_text(c: Column) -> Column:
-    """Plain spelling (digits, at most one full stop, an exponent) of a text that matches NUMBER wholly; '' otherwise.
+PLAIN_NUMBER = "^[+-]?\\d+(?:\\.\\d+)?$"
+
+
+def ungroup(t: Column) -> Column:
+    """Plain spelling (digits, at most one full stop, an exponent) of a text that matches NUMBER.
 
     The last separator is the decimal sign when both occur; repeated separators are groups; a single comma is decimal.
     Each step uses the one before it once, so the expression stays small; texts that are plain already skip the steps.
     """
-    t = F.regexp_extract(c, f"^({NUMBER})$", 1)
+    plain = t
     t = F.regexp_replace(t, "[ '’]", "")
     t = F.regexp_replace(t, "\\.(?=[\\d.]*,)", "")
     t = F.regexp_replace(t, ",(?=[\\d,]*\\.)", "")
     t = F.regexp_replace(t, ",(?=\\d{3}(?:,\\d{3})+(?!\\d))|(?<=,\\d{3}),(?=\\d{3})", "")
     t = F.regexp_replace(t, "\\.(?=\\d{3}(?:\\.\\d{3})+(?!\\d))|(?<=\\.\\d{3})\\.(?=\\d{3})", "")
-    return F.when(c.rlike("^[+-]?\\d+(?:\\.\\d+)?$"), c).otherwise(F.translate(t, ",", "."))
+    return F.when(plain.rlike(PLAIN_NUMBER), plain).otherwise(F.translate(t, ",", "."))
+
+
+def number_text(c: Column) -> Column:
+    """Plain spelling of a text that matches NUMBER wholly; '' otherwise."""
+    return ungroup(F.regexp_extract(c, f"^({NUMBER})$", 1))
 
 
 def number(c: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trussflow.operators.graph import components
-from trussflow.session import materialize
+from trussflow.session import lookup_join, materialize
 
 #: Columns wanted in the consistent table and the names any export may start from (fixed values of the data model).
 TARGETS = {
@@ -87,18 +87,18 @@ def changes(exports: DataFrame, metadata: DataFrame) -> DataFrame:
     began = both.where("old_kind is null").select("file_id", "prev_id", F.col("path").alias("new_name"))
     ended = both.where("kind is null").select("file_id", "prev_id", F.col("path").alias("old_name"))
 
-    # Only fields that stop or begin have their values compared.
+    # Only fields that stop or begin have their values compared. Equal values of one record are found by a hash join on the
+    # value; a pair is a renaming if as many records agree as hold both fields.
     cells = rows.where("global_id is not null").groupBy("file_id", "global_id", "path").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
     after = began.join(cells.withColumnRenamed("path", "new_name"), ["file_id", "new_name"])
     before = ended.join(cells.select(F.col("file_id").alias("prev_id"), F.col("path").alias("old_name"), "global_id", F.col("lo").alias("old_lo"), F.col("hi").alias("old_hi")), ["prev_id", "old_name"])
-    same = (F.col("lo") == F.col("hi")) & (F.col("old_lo") == F.col("old_hi")) & (F.col("lo") == F.col("old_lo"))
-    renamed = (
-        after.join(before, ["file_id", "prev_id", "global_id"])
-        .groupBy("file_id", "old_name", "new_name")
-        .agg(F.count("*").alias("matches"), F.bool_and(same).alias("all_same"))
-        .where("all_same")
-        .select("file_id", F.lit("renamed").alias("change_kind"), "old_name", "new_name", "matches")
-    )
+    one = after.where("lo = hi").select("file_id", "prev_id", "global_id", "new_name", F.col("lo").alias("raw"))
+    two = before.where("old_lo = old_hi").select("file_id", "prev_id", "global_id", "old_name", F.col("old_lo").alias("raw"))
+    agree = materialize(one.join(two, ["file_id", "prev_id", "global_id", "raw"]).groupBy("file_id", "prev_id", "old_name", "new_name").agg(F.count("*").alias("matches")), "agree")
+    # Records that hold both fields, for the pairs that agree somewhere only.
+    held = after.select("file_id", "global_id", "new_name").join(agree, ["file_id", "new_name"]).join(before.select("file_id", "prev_id", "global_id", "old_name"), ["file_id", "prev_id", "global_id", "old_name"])
+    held = held.groupBy("file_id", "old_name", "new_name", "matches").agg(F.count("*").alias("both"))
+    renamed = held.where("both = matches").select("file_id", F.lit("renamed").alias("change_kind"), "old_name", "new_name", "matches")
     renamed = materialize(renamed, "renamed")
     none = F.lit(None).cast("bigint").alias("matches")
     added = began.join(renamed, ["file_id", "new_name"], "left_anti").select("file_id", F.lit("added").alias("change_kind"), F.lit("").alias("old_name"), "new_name", none)
@@ -111,47 +111,81 @@ def changes(exports: DataFrame, metadata: DataFrame) -> DataFrame:
     return out
 
 
-def field_names(change_rows: DataFrame, least_matches: int = 3) -> DataFrame:
-    """path -> target column: names tied by renamings in any series form one field (connected components of names).
+def field_names(change_rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """path, target, type: the column of the consistent table that every path goes to.
 
-    A pair of names counts if its renamings rest on at least ``least_matches`` records together.
+    Names tied by renamings in any series form one field (connected components of names); every renaming that is reported
+    counts, for the file and the field it was found in. A field takes the name in TARGETS that it holds, else the one of its
+    names with the most values. Its type is the one most of its values have over all files: numbers are double (bigint for
+    those of TARGETS), truth values boolean, all others text. A name that some file renames and another keeps beside its new
+    name would tie two fields of one record; such ties, which the statistics show, are left out.
     """
-    edges = change_rows.where("change_kind = 'renamed'").groupBy("old_name", "new_name").agg(F.sum("matches").alias("n")).where(F.col("n") >= least_matches).select(F.col("old_name").alias("a"), F.col("new_name").alias("b"))
     spark = change_rows.sparkSession
-    known = spark.createDataFrame([(p, t) for t, (_, names) in TARGETS.items() for p in names], "path string, target string")
+    edges = change_rows.where("change_kind = 'renamed'").select(F.col("old_name").alias("a"), F.col("new_name").alias("b"), "matches").groupBy("a", "b").agg(F.sum("matches").alias("n"))
+    side = stats.select("file_id", "path")
+    together = side.withColumnRenamed("path", "a").join(edges.select("a", "b"), "a").join(side.withColumnRenamed("path", "b"), ["file_id", "b"]).select("a", "b").distinct()
+    edges = edges.join(together, ["a", "b"], "left_anti").select("a", "b")
     groups = components(edges).select(F.col("node").alias("path"), "component")
-    named = groups.join(known, "path").groupBy("component").agg(F.min("target").alias("target"))
-    return groups.join(named, "component").select("path", "target").unionByName(known).groupBy("path").agg(F.min("target").alias("target"))
+    known = spark.createDataFrame([(p, t, kind) for t, (kind, names) in TARGETS.items() for p in names], "path string, target string, fixed string")
+    kinds = stats.groupBy("path", "kind").agg(F.sum("values").alias("n"))
+    named = kinds.join(groups, "path", "left").withColumn("component", F.coalesce("component", "path")).join(known, "path", "left")
+    per = named.groupBy("component", "path").agg(F.sum("n").alias("n"), F.min("target").alias("target"), F.min("fixed").alias("fixed"))
+    field = per.groupBy("component").agg(F.coalesce(F.min("target"), F.max_by("path", F.struct("n", "path"))).alias("target"), F.min("fixed").alias("fixed"))
+    main = named.groupBy("component", "kind").agg(F.sum("n").alias("n")).where("kind in ('number', 'boolean', 'string')").groupBy("component").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"))
+    typed = F.coalesce("fixed", F.when(F.col("kind") == "number", "double").when(F.col("kind") == "boolean", "boolean").otherwise("string"))
+    field = field.join(main, "component", "left").select("component", "target", typed.alias("type"))
+    return named.select("path", "component").distinct().join(field, "component").select("path", "target", "type")
 
 
 def _scalar(raw: Column, kind: Column) -> Column:
-    """Text of a raw JSON value; of an object its member ``value`` or ``v``, of an array its first element."""
+    """Text of a raw JSON value; of an object its member ``value`` or ``v``, of an array its only element; null if there is none."""
     inner = F.coalesce(F.get_json_object(raw, "$.value"), F.get_json_object(raw, "$.v"))
-    return F.when(kind == "object", inner).when(kind == "array", F.get_json_object(raw, "$[0]")).when(kind == "string", F.get_json_object(F.concat(F.lit('{"x":'), raw, F.lit("}")), "$.x")).otherwise(raw)
+    only = F.when(F.json_array_length(raw) == 1, F.get_json_object(raw, "$[0]"))
+    return F.when(kind == "object", inner).when(kind == "array", only).when(kind == "string", F.get_json_object(F.concat(F.lit('{"x":'), raw, F.lit("}")), "$.x")).otherwise(raw)
+
+
+def _goes_to(target: str):
+    return lambda c: c["target"] == target
+
+
+def _column(name: str, taken: list[str]) -> str:
+    return f"{name}_field" if name.lower() in taken else name
 
 
 def consistent_table(exports: DataFrame, metadata: DataFrame) -> DataFrame:
     """One typed row per record of every file, whatever its layout, with the casts that failed.
 
-    Columns: file_id, rec_no, global_id, schema_key, those of TARGETS, failed (targets whose text could not be cast) and
-    extra (map of the fields without target). A record repeated exactly appears once.
+    Columns: file_id, rec_no, global_id, schema_key, one typed column for each field (TARGETS first, then every other field
+    met; the number of fields is that of the schema), and failed: the fields with the raw value that their type does
+    not hold (an object without value, a longer array, an unreadable text). A record repeated exactly appears once; two
+    spellings of one field in one record keep the greater text, and the other is listed in ``failed`` under its own name.
     """
-    names = field_names(changes(exports, metadata))
-    records = path_maps(exports.select("file_id", "rec_no", "global_id", "payload").distinct())
-    cells = records.select("file_id", "rec_no", "global_id", F.xxhash64("payload").alias("_version"), F.inline_outer("paths"))
-    cells = cells.join(F.broadcast(names) if names.count() < 50_000 else names, "path", "left").withColumn("text", _scalar(F.col("raw"), F.col("kind")))
+    records = materialize(path_maps(exports.select("file_id", "rec_no", "global_id", "payload").distinct()).withColumn("_version", F.xxhash64("payload")).drop("payload"), "records")
+    stats = path_statistics(records.select("file_id", F.inline("paths")))
+    names = materialize(field_names(changes(exports, metadata), stats), "names")
+    # one row for each field: as many as the merged schema has
+    fields = {r.target: r.type for r in names.select("target", "type").distinct().orderBy("target").collect()}
+    fields = {t: kind for t, (kind, _) in TARGETS.items()} | {t: k for t, k in fields.items() if t not in TARGETS}
+    cells = records.select("file_id", "rec_no", "global_id", "_version", F.inline_outer("paths"))
+    cells = lookup_join(cells, names.select("path", "target"), ["path"]).withColumn("text", _scalar(F.col("raw"), F.col("kind")))
     key = ["file_id", "rec_no", "global_id", "_version"]
-    wide = cells.groupBy(*key).agg(
-        *[F.max(F.when(F.col("target") == t, F.col("text"))).alias(f"_{t}") for t in TARGETS],
-        F.map_from_entries(F.collect_list(F.when(F.col("target").isNull() & F.col("path").isNotNull(), F.struct("path", "raw")))).alias("extra"),
-    )
-    cleaned = {t: F.regexp_replace(F.col(f"_{t}"), "^#", "") if kind == "bigint" else F.col(f"_{t}") for t, (kind, _) in TARGETS.items()}
-    typed = {t: cleaned[t].try_cast(kind) for t, (kind, _) in TARGETS.items()}
-    failed = F.array_compact(F.array(*[F.when(F.col(f"_{t}").isNotNull() & typed[t].isNull(), F.lit(t)) for t in TARGETS]))
-    out = wide.select("file_id", "rec_no", "global_id", *[typed[t].alias(t) for t in TARGETS], failed.alias("failed"), "extra")
+    wide = cells.groupBy(*key).agg(F.collect_list(F.when(F.col("path").isNotNull(), F.struct("target", "text", "raw", "path"))).alias("cells"))
+    wide = wide.withColumn("_cells", F.sort_array("cells", False))
+    taken = ["file_id", "rec_no", "global_id", "schema_key", "failed"]
+    exprs, failed = [], []
+    for t, kind in fields.items():
+        mine = F.filter("_cells", _goes_to(t))
+        first = F.get(mine, F.lit(0))
+        text = F.regexp_replace(first["text"], "^#", "") if kind == "bigint" else first["text"]
+        value = text if kind == "string" else text.try_cast(kind)
+        exprs.append(value.alias(_column(t, taken)))
+        failed.append(F.when(first["raw"].isNotNull() & value.isNull(), F.array(F.struct(F.lit(t).alias("field"), first["raw"].alias("raw")))))
+        failed.append(F.transform(F.slice(mine, 2, F.greatest(F.size(mine) - 1, F.lit(0))), lambda c: F.struct(c["path"].alias("field"), c["raw"].alias("raw"))))
+    lost = F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<struct<field:string,raw:string>>")) for x in failed]))
+    out = wide.select("file_id", "rec_no", "global_id", *exprs, lost.alias("failed"))
     return out.join(file_order(metadata).select("file_id", "schema_key"), "file_id", "left")
 
 
 def failed_casts(table: DataFrame) -> DataFrame:
     """file_id, field, n: casts that failed in the consistent table."""
-    return table.select("file_id", F.explode("failed").alias("field")).groupBy("file_id", "field").agg(F.count("*").alias("n"))
+    return table.select("file_id", F.explode("failed.field").alias("field")).groupBy("file_id", "field").agg(F.count("*").alias("n"))

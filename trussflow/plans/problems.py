@@ -16,7 +16,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_id_map(spark: SparkSession, d: str) -> DataFrame:
     t = drift.consistent_table(table(spark, d, "id_map_exports"), table(spark, d, "metadata"))
-    return t.withColumns({"failed": F.concat_ws(",", "failed"), "extra": F.to_json("extra")})
+    return t.withColumn("failed", F.to_json("failed"))
 
 
 def p1_failed_casts(spark: SparkSession, d: str) -> DataFrame:

@@ -76,14 +76,20 @@ def _is_hot(df: DataFrame, keys: list[str], hot: list[tuple]) -> Column:
     return F.coalesce(packed.isin([F.struct(*[F.lit(x).cast(types[k]).alias(k) for k, x in zip(keys, key)]) for key in hot]), F.lit(False))
 
 
-#: Rows of a lookup table that may be broadcast (a few dozen bytes each).
-SMALL_ROWS = 200_000
+#: Bytes of a lookup table that may be broadcast.
+SMALL_BYTES = 64 << 20
 
 
-def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", small: int = SMALL_ROWS) -> DataFrame:
-    """Join with a table that is written out and counted first: broadcast up to ``small`` rows, salted join beyond."""
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of a table that was written out: rows by the width of its schema, or its files if they are larger."""
+    j = df._jdf
+    return max(df.count() * j.schema().defaultSize(), int(str(j.queryExecution().optimizedPlan().stats().sizeInBytes())))
+
+
+def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", small: int = SMALL_BYTES) -> DataFrame:
+    """Join with a table that is written out and measured first: broadcast up to ``small`` bytes, salted join beyond."""
     right = materialize(right, "lookup")
-    if right.count() <= small:
+    if table_bytes(right) <= small:
         return left.join(F.broadcast(right), keys, how)
     return salted_join(left, right, keys, how)
 
