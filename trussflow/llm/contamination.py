@@ -1,12 +1,15 @@
 """Evaluation texts leaking into a corpus: template windows, hash join, slot check, exact alignment.
 
 Texts are normalised (case, punctuation, markup, line prefixes, line-end hyphens, typographic variants) to words; numbers,
-units and names are replaced by typed placeholders. The items are the stated query set: their template windows form the
-build side, in blocks of BLOCK items that are broadcast one after another, and every document is probed whole against each
-block, so the corpus is never shuffled. Names are told by capitals, which disguises change, so they are slots only in a second
-reading, and only where exchanged slots are sought. A window hit is a seed. Seeds whose slots hold the item's own words are extended by
-furthest-reaching alignment to decide an exact leak; along seeds whose slots differ the longest run with a consistent exchange
-of slot values is taken, which reveals re-parameterised items.
+units and names are replaced by typed placeholders. Every WINDOW placeholder words in a row are a row with two hashes: that of
+the template and that of the words themselves. The windows of documents and items are hash-joined on the template; the slot
+check then compares the words in the slots. A pair of document and item with a window whose slots hold the item's own words is
+a candidate for an exact leak; one with enough windows on a diagonal, whatever their slots, is a candidate for a
+re-parameterised item. Candidates alone are read again and decided: exact leaks by furthest-reaching alignment, in which a
+changed slot is a replaced word; re-parameterised ones by the longest run with a consistent exchange of slot values.
+The corpus is never shuffled: documents emit only windows whose template some item has, as long as the templates of the items
+fit a checked size, and all windows beyond it. Names are told by capitals, which disguises change, so they are slots only in
+a second reading, and only where exchanged slots are sought.
 
 A leak is a run of at least RUN words of the item, or a stretch of at least STRETCH item words with at most one word in
 EVERY replaced, left out or added. Any such stretch holds WINDOW equal words in a row (24 words with 3 edits leave 21 words
@@ -18,18 +21,22 @@ out; items shorter than RUN words cannot leak; very long texts are processed who
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trussflow.session import SMALL_BYTES, lookup_join, materialize, table_bytes
 
 RUN, STRETCH, EVERY, WINDOW = 13, 24, 8, 6
-#: Items in one broadcast block, and characters of their texts at most.
-BLOCK, BLOCK_CHARS = 20_000, 20_000_000
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,300}>|<!--.*?-->", re.S)
 _LINK = re.compile(r"\]\((?:https?:|/|#|mailto:)[^)\s]*\)")
@@ -113,7 +120,7 @@ def _named(text: str, w: list[str], numbered: bool = False) -> list[bool]:
 
 
 class Index:
-    """Template windows of a block of items: window of placeholders -> window of words -> [(item, position)].
+    """Template windows of some items: window of placeholders -> window of words -> [(item, position)].
 
     Words and placeholders are small integers; a word that no item has is 0, and so is a placeholder that none has.
     """
@@ -253,60 +260,148 @@ def _scan(doc: list[str], index: Index, exact: bool, flags: list[bool] | None =
     return found
 
 
-def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The stated query set in blocks of bounded size, streamed to the driver one partition at a time."""
-    block: list[tuple[int, str]] = []
-    chars = 0
-    for row in items.select("item_id", "text").dropna().distinct().toLocalIterator():
-        block.append((row[0], row[1]))
-        chars += len(row[1])
-        if len(block) >= BLOCK or chars >= BLOCK_CHARS:
-            yield block
-            block, chars = [], 0
-    if block:
-        yield block
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Hasher:
+    """Hashes of the template windows of texts."""
+
+    def __init__(self, with_names: bool):
+        self.with_names = with_names
+        self.memo: dict[tuple[str, bool], tuple[int, int]] = {}
+
+    def _word(self, key: tuple[str, bool]) -> tuple[int, int]:
+        h = lambda x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little")
+        if len(self.memo) > 1_000_000:
+            self.memo.clear()
+        v = self.memo[key] = (h(slot(*key)), h(key[0]))
+        return v
+
+    def windows(self, w: list[str], flags: list[bool] | None = None) -> np.ndarray:
+        """(template hash, word hash) of the window at every position, as an array of two rows."""
+        n = len(w) - WINDOW + 1
+        if n <= 0:
+            return np.zeros((2, 0), np.int64)
+        known, word = self.memo.get, self._word
+        h = np.array([known(k) or word(k) for k in zip(w, flags or repeat(False))], np.uint64).T
+        out = np.zeros((2, n), np.uint64)
+        for j in range(WINDOW):
+            out = out * _STEP + h[:, j : j + n]
+        return out.view(np.int64)
+
+    def readings(self, text: str) -> Iterator[tuple[int, list[str], list[bool] | None]]:
+        """(number, words, name flags) of every way a text is read: with and without numbers before lines, names as words or slots."""
+        plain = words(text)
+        yield 0, plain, None
+        other = words(text, numbered=True) if _HAS_NUMBER.search(text) else plain
+        if other != plain:
+            yield 1, other, None
+        if self.with_names:
+            yield 2, plain, _named(text, plain)
+            if other != plain:
+                yield 3, other, _named(text, other, numbered=True)
+
+
+def window_rows(texts: DataFrame, key: str, with_names: bool, numbered: bool, wanted: np.ndarray | None = None) -> DataFrame:
+    """key, reading, pos, template, exact: the windows of every text; ``wanted``: only those of these templates."""
+    build = None if wanted is None else texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches):
+        hasher = _Hasher(with_names)
+        keep = None if build is None else build.value
+        for pdf in batches:
+            keys, readings, places, hashes = [], [], [], []
+            for k, text in zip(pdf[key], pdf["text"]):
+                for reading, w, flags in hasher.readings(text):
+                    if not numbered and reading in (1, 3):
+                        continue
+                    h = hasher.windows(w, flags)
+                    at = np.arange(h.shape[1])
+                    if keep is not None and len(at):
+                        spot = np.searchsorted(keep, h[0])
+                        at = np.flatnonzero(keep[np.minimum(spot, len(keep) - 1)] == h[0]) if len(keep) else at[:0]
+                    keys.append(np.full(len(at), k, np.int64))
+                    readings.append(np.full(len(at), reading, np.int32))
+                    places.append(at.astype(np.int32))
+                    hashes.append(h[:, at])
+            if keys:
+                h = np.concatenate(hashes, axis=1)
+                yield pd.DataFrame({key: np.concatenate(keys), "reading": np.concatenate(readings), "pos": np.concatenate(places), "template": h[0], "exact": h[1]})
+
+    return texts.mapInPandas(run, f"{key} long, reading int, pos int, template long, exact long")
+
+
+@lru_cache(maxsize=4096)
+def _index(item_id: int, text: str, with_names: bool) -> Index:
+    return Index([(item_id, text)], with_names)
+
+
+def _decide(text: str, item_id: int, item: str, exact: bool) -> tuple | None:
+    """The greatest result of one document and one item, over all readings."""
+    best = None
+    plain = words(text)
+    readings = [(plain, False)]
+    if _HAS_NUMBER.search(text):
+        other = words(text, numbered=True)
+        if other != plain:
+            readings.append((other, True))
+    for w, numbered in readings:
+        found = _scan(w, _index(item_id, item, False), exact)
+        hits = list(found.values())
+        if not exact:
+            hits += _scan(w, _index(item_id, item, True), exact, _named(text, w, numbered)).values()
+        for v in hits:
+            best = v if best is None else max(best, v)
+    return best
+
 
+def candidates(documents: DataFrame, items: DataFrame, exact: bool) -> DataFrame:
+    """doc_id, item_id: pairs that the hash join of template windows and the slot check leave.
 
-def _probe(documents: DataFrame, items: DataFrame, exact: bool, schema: str, columns: list[str]) -> DataFrame:
-    spark = documents.sparkSession
+    ``exact``: some window's slots hold the item's own words. Else: RUN - WINDOW + 1 windows in a row have one template, which
+    is what a run of RUN template words has.
+    """
+    right = materialize(window_rows(items, "item_id", not exact, False), "windows").withColumnRenamed("pos", "item_pos")
+    templates = materialize(right.select("template").distinct(), "templates")
+    wanted = None
+    if table_bytes(templates) <= SMALL_BYTES:
+        wanted = np.sort(np.array([r[0] for r in templates.collect()], np.int64))  # a checked size of the stated query set
+    left = window_rows(documents, "doc_id", not exact, True, wanted)
+    # with names and without are different templates; numbers before lines are a matter of documents only
+    right = right.select("item_id", "item_pos", (F.col("reading") >= 2).alias("named"), "template", F.col("exact").alias("item_exact"))
+    seeds = lookup_join(left.withColumn("named", F.col("reading") >= 2), right, ["named", "template"], "inner")
+    if exact:
+        return seeds.where("exact = item_exact").select("doc_id", "item_id").distinct()
+    runs = seeds.groupBy("doc_id", "item_id", "reading", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.count("*").alias("n"), F.bool_or(F.col("exact") != F.col("item_exact")).alias("changed"))
+    return runs.where((F.col("n") >= RUN - WINDOW + 1) & F.col("changed")).select("doc_id", "item_id").distinct()
+
+
+def _probe(documents: DataFrame, items: DataFrame, exact: bool, columns: list[str]) -> DataFrame:
     docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    out = None
-    for block in blocks(items):
-        build = spark.sparkContext.broadcast([Index(block)] if exact else [Index(block), Index(block, with_names=True)])
-
-        def run(batches, build=build):
-            index = build.value[0]
-
-            def scan(w, text, numbered=False):
-                found = _scan(w, index, exact)
-                if not exact:  # items have the same numbers in both indexes
-                    for k, v in _scan(w, build.value[1], exact, _named(text, w, numbered)).items():
-                        found[k] = max(v, found.get(k, v))
-                return found
-
-            for pdf in batches:
-                rows = []
-                for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                    plain = words(text)
-                    found = scan(plain, text)
-                    if _HAS_NUMBER.search(text):  # both readings of a number before a line
-                        other = words(text, numbered=True)
-                        if other != plain:
-                            for k, v in scan(other, text, numbered=True).items():
-                                found[k] = max(v, found.get(k, v))
-                    rows.extend((doc_id, index.texts[k][0], *v) for k, v in found.items())
-                yield pd.DataFrame(rows, columns=columns)
-
-        part = docs.mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    tests = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+    pairs = candidates(docs, tests, exact)
+    pairs = pairs.join(tests.withColumnRenamed("text", "item"), "item_id")
+    # Few documents are candidates: their pairs come to the documents, whose text does not move.
+    rows = lookup_join(docs, pairs, ["doc_id"], "inner")
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for doc_id, text, item_id, item in zip(pdf["doc_id"], pdf["text"], pdf["item_id"], pdf["item"]):
+                v = _decide(text, item_id, item, exact)
+                if v is not None:
+                    out.append((doc_id, item_id, *v))
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", *columns])
+
+    found = rows.select("doc_id", "text", "item_id", "item").mapInPandas(run, f"doc_id long, item_id long, {', '.join(f'{c} int' for c in columns)}")
+    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct(*columns)).alias("v")).select("doc_id", "item_id", "v.*")
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, longest_run, stretch, edits: every document and the items leaked into it."""
-    return _probe(documents, items, True, "doc_id long, item_id long, longest_run int, stretch int, edits int", ["doc_id", "item_id", "longest_run", "stretch", "edits"])
+    return _probe(documents, items, True, ["longest_run", "stretch", "edits"])
 
 
 def reparameterised(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, template_run, changed: runs of RUN or more template words with consistently exchanged slots."""
-    return _probe(documents, items, False, "doc_id long, item_id long, template_run int, changed int", ["doc_id", "item_id", "template_run", "changed"])
+    return _probe(documents, items, False, ["template_run", "changed"])
