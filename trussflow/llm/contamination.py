@@ -3,10 +3,10 @@
 Texts are normalised (case, punctuation, markup, line prefixes, line-end hyphens, typographic variants) to words; numbers,
 units and names are replaced by typed placeholders. Every WINDOW placeholder words in a row are a row with two hashes: that of
 the template and that of the words themselves. The windows of documents and items are hash-joined on the template; the slot
-check then compares the words in the slots. A pair of document and item with a window whose slots hold the item's own words is
-a candidate for an exact leak; one with enough windows on a diagonal, whatever their slots, is a candidate for a
-re-parameterised item. Candidates alone are read again and decided: exact leaks by furthest-reaching alignment, in which a
-changed slot is a replaced word; re-parameterised ones by the longest run with a consistent exchange of slot values.
+check then compares the words in the slots. Windows whose slots hold the item's own words are seeds of an exact leak; enough
+windows on a diagonal, whatever their slots, are seeds of a re-parameterised item. Seeds are decided on the hashes of words,
+so no text is read twice: exact leaks by furthest-reaching alignment, in which a changed slot is a replaced word;
+re-parameterised items by the longest run with a consistent exchange of slot values.
 The corpus is never shuffled: documents emit only windows whose template some item has, as long as the templates of the items
 fit a checked size, and all windows beyond it. Names are told by capitals, which disguises change, so they are slots only in
 a second reading, and only where exchanged slots are sought.
@@ -26,11 +26,10 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,44 +118,6 @@ def _named(text: str, w: list[str], numbered: bool = False) -> list[bool]:
     return flags if len(flags) == len(w) else [False] * len(w)
 
 
-class Index:
-    """Template windows of some items: window of placeholders -> window of words -> [(item, position)].
-
-    Words and placeholders are small integers; a word that no item has is 0, and so is a placeholder that none has.
-    """
-
-    def __init__(self, items: list[tuple[int, str]], with_names: bool = False):
-        self.texts: list[tuple[int, list[str], list[int], list[int]]] = []
-        self.word_ids: dict[str, int] = {}
-        self.slot_ids: dict[str, int] = {}
-        self.windows: dict[tuple, dict[tuple, list[tuple[int, int]]]] = {}
-        self.memo: dict[tuple[str, bool], tuple[int, int]] = {}
-        for item_id, text in items:
-            w = words(text)
-            if item_id is None or len(w) < RUN:
-                continue
-            ids = [self.word_ids.setdefault(x, len(self.word_ids) + 1) for x in w]
-            flags = _named(text, w) if with_names else [False] * len(w)
-            slots = [self.slot_ids.setdefault(slot(x, f), len(self.slot_ids) + 1) for x, f in zip(w, flags)]
-            k = len(self.texts)
-            self.texts.append((int(item_id), w, ids, slots))
-            for j in range(len(w) - WINDOW + 1):
-                self.windows.setdefault(tuple(slots[j : j + WINDOW]), {}).setdefault(tuple(ids[j : j + WINDOW]), []).append((k, j))
-
-    def encode(self, doc: list[str], flags: list[bool] | None = None) -> tuple[list[int], list[int]]:
-        """Word and placeholder numbers of a document's words."""
-        memo, ids, slots = self.memo, [], []
-        if len(memo) > 1_000_000:
-            memo.clear()
-        for key in zip(doc, flags or repeat(False)):
-            v = memo.get(key)
-            if v is None:
-                v = memo[key] = (self.word_ids.get(key[0], 0), self.slot_ids.get(slot(*key), 0))
-            ids.append(v[0])
-            slots.append(v[1])
-        return ids, slots
-
-
 def _reach(a: list[int], b: list[int], i: int, j: int, step: int, slack: int) -> list[int]:
     """Most words of ``b`` covered from (i, j) in direction ``step`` with 0, 1, 2, ... edits."""
     na, nb = len(a), len(b)
@@ -220,44 +181,29 @@ def _exchanges(pairs: list[tuple[str, str]]) -> Iterator[tuple[int, int]]:
     yield len(pairs) - begin, changed[-1] - changed[begin]
 
 
-def _scan(doc: list[str], index: Index, exact: bool, flags: list[bool] | None = None):
-    """item number -> (longest run, stretch, edits) for exact leaks, or (run, changed slots) for re-parameterised ones."""
-    found: dict[int, tuple] = {}
-    ids, slots = index.encode(doc, flags)
-    windows, n_words = index.windows, len(doc)
-    last: dict[tuple[int, int], int] = {}
-    clean = 0  # words in a row whose placeholder some item has
-    for end, s in enumerate(slots):
-        clean = clean + 1 if s else 0
-        if clean < WINDOW:
+def _decide(doc: list[int], doc_slots: list[int], item: list[int], item_slots: list[int], seeds: list[tuple[int, int]], exact: bool) -> tuple | None:
+    """(longest run, stretch, edits) of an exact leak, or (run, changed slots) of a re-parameterised item, from the seeds of a pair."""
+    best, longest = None, 0
+    last: dict[int, int] = {}
+    for i, j in sorted(seeds):
+        seen = last.get(i - j)
+        last[i - j] = i
+        if seen is not None and seen >= i - 1:
             continue
-        i = end - WINDOW + 1
-        hits = windows.get(tuple(slots[i : end + 1]))
-        if hits is None:
-            continue
-        groups = [hits.get(tuple(ids[i : end + 1]), ())] if exact else hits.values()
-        for group in groups:
-            for k, j in group:
-                seen = last.get((k, i - j))
-                last[k, i - j] = i
-                if seen is not None and seen >= i - 1:
-                    continue
-                _, item, item_ids, item_slots = index.texts[k]
-                if exact:
-                    n = WINDOW
-                    while i + n < n_words and j + n < len(item) and ids[i + n] == item_ids[j + n]:
-                        n += 1
-                    hit = _leak(ids, item_ids, i, j, n)
-                    if hit and (k not in found or hit > found[k][1:]):
-                        found[k] = (max(n, found.get(k, (0,))[0]), *hit)
-                else:
-                    n = 0
-                    while i + n < n_words and j + n < len(item) and slots[i + n] == item_slots[j + n]:
-                        n += 1
-                    for run, changed in _exchanges(list(zip(doc[i : i + n], item[j : j + n]))):
-                        if run >= RUN and changed and (k not in found or run > found[k][0]):
-                            found[k] = (run, changed)
-    return found
+        a, b = (doc, item) if exact else (doc_slots, item_slots)
+        n = WINDOW
+        while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+            n += 1
+        if exact:
+            hit = _leak(doc, item, i, j, n)
+            if hit:
+                longest = max(longest, n)
+                best = hit if best is None else max(best, hit)
+        else:
+            for run, changed in _exchanges(list(zip(doc[i : i + n], item[j : j + n]))):
+                if run >= RUN and changed and (best is None or run > best[0]):
+                    best = run, changed
+    return best if best is None or not exact else (longest, *best)
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -277,17 +223,15 @@ class _Hasher:
         v = self.memo[key] = (h(slot(*key)), h(key[0]))
         return v
 
-    def windows(self, w: list[str], flags: list[bool] | None = None) -> np.ndarray:
-        """(template hash, word hash) of the window at every position, as an array of two rows."""
-        n = len(w) - WINDOW + 1
-        if n <= 0:
-            return np.zeros((2, 0), np.int64)
+    def windows(self, w: list[str], flags: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Placeholder hashes, word hashes, and (template hash, word hash) of the window at every position."""
+        n = max(0, len(w) - WINDOW + 1)
         known, word = self.memo.get, self._word
-        h = np.array([known(k) or word(k) for k in zip(w, flags or repeat(False))], np.uint64).T
+        h = np.array([known(k) or word(k) for k in zip(w, flags or repeat(False))], np.uint64).reshape(-1, 2).T
         out = np.zeros((2, n), np.uint64)
-        for j in range(WINDOW):
+        for j in range(WINDOW if n else 0):
             out = out * _STEP + h[:, j : j + n]
-        return out.view(np.int64)
+        return h[0].view(np.int64), h[1].view(np.int64), out.view(np.int64)
 
     def readings(self, text: str) -> Iterator[tuple[int, list[str], list[bool] | None]]:
         """(number, words, name flags) of every way a text is read: with and without numbers before lines, names as words or slots."""
@@ -302,98 +246,88 @@ class _Hasher:
                 yield 3, other, _named(text, other, numbered=True)
 
 
-def window_rows(texts: DataFrame, key: str, with_names: bool, numbered: bool, wanted: np.ndarray | None = None) -> DataFrame:
-    """key, reading, pos, template, exact: the windows of every text; ``wanted``: only those of these templates."""
+def probes(texts: DataFrame, key: str, with_names: bool, numbered: bool, wanted: np.ndarray | None = None) -> DataFrame:
+    """key, named, w, s, seeds of every reading of a text: hashes of its words and placeholders, and its windows (pos, template, exact).
+
+    ``wanted``: only windows of these templates, and only readings that have one.
+    """
     build = None if wanted is None else texts.sparkSession.sparkContext.broadcast(wanted)
+    seed = pa.struct([("pos", pa.int32()), ("template", pa.int64()), ("exact", pa.int64())])
+    longs = pa.list_(pa.int64())
 
     def run(batches):
         hasher = _Hasher(with_names)
         keep = None if build is None else build.value
-        for pdf in batches:
-            keys, readings, places, hashes = [], [], [], []
-            for k, text in zip(pdf[key], pdf["text"]):
+        for batch in batches:
+            keys, named, ws, ss, sizes, seeds = [], [], [], [], [0], []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for reading, w, flags in hasher.readings(text):
                     if not numbered and reading in (1, 3):
                         continue
-                    h = hasher.windows(w, flags)
+                    slots, ids, h = hasher.windows(w, flags)
                     at = np.arange(h.shape[1])
                     if keep is not None and len(at):
                         spot = np.searchsorted(keep, h[0])
                         at = np.flatnonzero(keep[np.minimum(spot, len(keep) - 1)] == h[0]) if len(keep) else at[:0]
-                    keys.append(np.full(len(at), k, np.int64))
-                    readings.append(np.full(len(at), reading, np.int32))
-                    places.append(at.astype(np.int32))
-                    hashes.append(h[:, at])
-            if keys:
-                h = np.concatenate(hashes, axis=1)
-                yield pd.DataFrame({key: np.concatenate(keys), "reading": np.concatenate(readings), "pos": np.concatenate(places), "template": h[0], "exact": h[1]})
-
-    return texts.mapInPandas(run, f"{key} long, reading int, pos int, template long, exact long")
-
-
-@lru_cache(maxsize=4096)
-def _index(item_id: int, text: str, with_names: bool) -> Index:
-    return Index([(item_id, text)], with_names)
-
-
-def _decide(text: str, item_id: int, item: str, exact: bool) -> tuple | None:
-    """The greatest result of one document and one item, over all readings."""
-    best = None
-    plain = words(text)
-    readings = [(plain, False)]
-    if _HAS_NUMBER.search(text):
-        other = words(text, numbered=True)
-        if other != plain:
-            readings.append((other, True))
-    for w, numbered in readings:
-        found = _scan(w, _index(item_id, item, False), exact)
-        hits = list(found.values())
-        if not exact:
-            hits += _scan(w, _index(item_id, item, True), exact, _named(text, w, numbered)).values()
-        for v in hits:
-            best = v if best is None else max(best, v)
-    return best
+                    if not len(at):
+                        continue
+                    keys.append(k)
+                    named.append(reading >= 2)
+                    ws.append(ids)
+                    ss.append(slots)
+                    sizes.append(sizes[-1] + len(at))
+                    seeds.append(np.vstack([at, h[:, at]]))
+            flat = np.hstack(seeds) if seeds else np.zeros((3, 0), np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array(flat[0].astype(np.int32)), pa.array(flat[1]), pa.array(flat[2])], fields=list(seed)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(named, pa.bool_()), pa.array(ws, longs), pa.array(ss, longs), lists], names=[key, "named", "w", "s", "seeds"])
 
+    return texts.select(key, "text").mapInArrow(run, f"{key} long, named boolean, w array<long>, s array<long>, seeds array<struct<pos:int,template:long,exact:long>>")
 
-def candidates(documents: DataFrame, items: DataFrame, exact: bool) -> DataFrame:
-    """doc_id, item_id: pairs that the hash join of template windows and the slot check leave.
 
-    ``exact``: some window's slots hold the item's own words. Else: RUN - WINDOW + 1 windows in a row have one template, which
-    is what a run of RUN template words has.
-    """
-    right = materialize(window_rows(items, "item_id", not exact, False), "windows").withColumnRenamed("pos", "item_pos")
-    templates = materialize(right.select("template").distinct(), "templates")
-    wanted = None
-    if table_bytes(templates) <= SMALL_BYTES:
-        wanted = np.sort(np.array([r[0] for r in templates.collect()], np.int64))  # a checked size of the stated query set
-    left = window_rows(documents, "doc_id", not exact, True, wanted)
-    # with names and without are different templates; numbers before lines are a matter of documents only
-    right = right.select("item_id", "item_pos", (F.col("reading") >= 2).alias("named"), "template", F.col("exact").alias("item_exact"))
-    seeds = lookup_join(left.withColumn("named", F.col("reading") >= 2), right, ["named", "template"], "inner")
-    if exact:
-        return seeds.where("exact = item_exact").select("doc_id", "item_id").distinct()
-    runs = seeds.groupBy("doc_id", "item_id", "reading", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.count("*").alias("n"), F.bool_or(F.col("exact") != F.col("item_exact")).alias("changed"))
-    return runs.where((F.col("n") >= RUN - WINDOW + 1) & F.col("changed")).select("doc_id", "item_id").distinct()
+def _lists(offsets: pa.Array, values: pa.Array) -> list[list[int]]:
+    """Python lists of an Arrow list column without nulls."""
+    o, v = offsets.to_numpy(), values.to_numpy(zero_copy_only=False)
+    return [v[a:b].tolist() for a, b in zip(o[:-1], o[1:])]
 
 
 def _probe(documents: DataFrame, items: DataFrame, exact: bool, columns: list[str]) -> DataFrame:
-    docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    tests = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
-    pairs = candidates(docs, tests, exact)
-    pairs = pairs.join(tests.withColumnRenamed("text", "item"), "item_id")
-    # Few documents are candidates: their pairs come to the documents, whose text does not move.
-    rows = lookup_join(docs, pairs, ["doc_id"], "inner")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    tests = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
+    tests = materialize(probes(tests, "item_id", not exact, False).where(F.size("w") >= RUN), "items").withColumn("test", F.xxhash64("item_id", "w"))
+    windows = tests.select("test", "item_id", "named", F.inline("seeds")).withColumnsRenamed({"pos": "item_pos", "exact": "item_exact"})
+    templates = materialize(windows.select("template").distinct(), "templates")
+    wanted = None
+    if table_bytes(templates) <= SMALL_BYTES:  # a checked size of the stated query set
+        wanted = np.sort(np.array([r[0] for r in templates.collect()], np.int64))
+    read = materialize(probes(docs, "doc_id", not exact, True, wanted).withColumn("probe", F.monotonically_increasing_id()), "probes")
+    # Numbers before lines are a matter of documents only; templates with and without names are different ones.
+    seeds = lookup_join(read.select("probe", "named", F.inline("seeds")), windows, ["named", "template"], "inner")
+    same = F.col("exact") == F.col("item_exact")
+    if exact:  # some window's slots hold the item's own words
+        seeds = seeds.where(same)
+    else:  # RUN template words in a row have RUN - WINDOW + 1 windows on one diagonal
+        d = seeds.groupBy("probe", "test", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.count("*").alias("n"), F.bool_and(same).alias("same"), F.collect_list(F.struct("pos", "item_pos")).alias("at"))
+        seeds = d.where((F.col("n") >= RUN - WINDOW + 1) & ~F.col("same")).select("probe", "test", F.inline("at"))
+    pairs = seeds.groupBy("probe", "test").agg(F.collect_list(F.struct("pos", "item_pos")).alias("at"))
+    # The words of an item are sent once to each pair of few, those of a document do not move.
+    pairs = pairs.join(tests.select("test", "item_id", F.col("w").alias("item_w"), F.col("s").alias("item_s"), "named"), "test")
+    rows = lookup_join(read.select("probe", "named", "doc_id", "w", "s"), pairs, ["probe", "named"], "inner")
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for doc_id, text, item_id, item in zip(pdf["doc_id"], pdf["text"], pdf["item_id"], pdf["item"]):
-                v = _decide(text, item_id, item, exact)
+            at = batch.column(6).values
+            places = [list(zip(*x)) for x in zip(*(_lists(batch.column(6).offsets, at.field(k)) for k in (0, 1)))]
+            lists = (_lists(batch.column(k).offsets, batch.column(k).values) for k in range(2, 6))
+            for doc_id, item_id, w, s, iw, it, seeds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *lists, places):
+                v = _decide(w, s, iw, it, seeds, exact)
                 if v is not None:
                     out.append((doc_id, item_id, *v))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", *columns])
+            cols = list(zip(*out)) or [()] * (2 + len(columns))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(cols)], names=["doc_id", "item_id", *columns])
 
-    found = rows.select("doc_id", "text", "item_id", "item").mapInPandas(run, f"doc_id long, item_id long, {', '.join(f'{c} int' for c in columns)}")
+    slots = ("w", "item_w") if exact else ("s", "item_s")  # placeholders play no part in an exact alignment
+    found = rows.select("doc_id", "item_id", "w", F.col(slots[0]).alias("s"), "item_w", F.col(slots[1]).alias("item_s"), "at").mapInArrow(run, f"doc_id long, item_id long, {', '.join(f'{c} int' for c in columns)}")
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct(*columns)).alias("v")).select("doc_id", "item_id", "v.*")
 
 
