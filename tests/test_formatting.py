@@ -9,7 +9,7 @@ GOLDEN = [
     ('"a" + "b"', "ab"), ("1 + 2", "3"), ("1 + 2.5", "3.5"), ("{{none}} + 2", "2"), ("7 / 0", "inf"), ("7 / 2", "3.5"), ("2 * 3 - 1", "5"),
     ("round(2.5, 1)", "2"), ("round(3.5, 1)", "4"), ('round("x", 5)', "x"), ("round(123.456, 0.1)", "123.5"), ("upper({{none}})", "NONE"),
     ('title("a-b c3d")', "A-B C3D"), ('concat("a", {{n}})', "a7"), ('substr("abcdef", 1, -1)', "bcde"), ('substr("abcdef", -2)', "ef"),
-    ('substr("abc", 2, 1)', ""), ('join("-", sort({{list}}))', "a-b"), ("int(3.9)", "3"), ("int({{none}})", "0"), ('number(1234567.5, ".", ",")', "1,234,567.5"),
+    ('substr("abc", 2, 1)', ""), ('join("-", sort({{list}}))', "a-b"), ("int(3.9)", "3"), ("int({{none}})", "0"), ('number(1234567.5, ".", ",")', "1,234,567.5"), ("number(1234.5678)", "1,234.5678"), ('number(1234.12, ",")', "1234,12"), ('number(1234.12, ",", ".")', "1.234,12"), ("number(123)", "123"),
     ("metric_length(123, 5, 2)", "125.00"), ("lower(UPPER)", None),
 ]
 
@@ -25,6 +25,7 @@ def test_golden_texts(spark):
 
 
 def test_imperial():
+    assert imperial_text(0.25 / 12, 4) == "0' - 0 1/4\"" and imperial_text(5 + 0.5 / 12, 2) == "5' - 0 1/2\""
     assert imperial_text(5.25, 2) == "5' - 3\"" and imperial_text(3.5 / 12, 2) == "0' - 3 1/2\"" and imperial_text(4.0) == "4'" and imperial_text(None) is None
 
 

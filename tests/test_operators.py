@@ -127,6 +127,24 @@ def test_spf_file_round_trip(spark, tmp_path):
     assert readers.open_model(spark, str(tmp_path / "a.ifczip")).count() == 2
 
 
+def test_spf_line_ends_shared_lines_escapes_and_splits(spark, tmp_path):
+    head = "ISO-10303-21;\r\nHEADER;\r\nFILE_DESCRIPTION(('a;b'),'2;1');FILE_NAME('n','',(''),(''),'','','');\r\nFILE_SCHEMA(('IFC4X3'));\r\nENDSEC;\r\nDATA;\r\n"
+    body = "".join(f"#{k}=IFCWALL('it''s; {k}\r\n;#9{k}=IFCFAKE(',$,\n #1);#{k + 1000}=IFCSLAB('n\\X2\\00E9\\X0\\\\X\\E9\\S\\i',#{k});\r\n" for k in range(1, 200))
+    p = tmp_path / "m.ifc"
+    p.write_text(head + body + "ENDSEC;\r\nEND-ISO-10303-21;\r\n", newline="")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split in ("997", size):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            t = spf.read_spf(spark, str(p)).select("id", "class", "refs", spf.argument(0).alias("name"))
+            got = {r.id: (r["class"], r.refs, r.name) for r in t.collect()}
+            assert len(got) == t.count() == 398
+            assert all(got[k] == ("IFCWALL", [1], f"it's; {k}\r\n;#9{k}=IFCFAKE(") and got[k + 1000] == ("IFCSLAB", [k], "nééé") for k in range(1, 200))
+        assert spf.read_header(spark, str(p)).first().schema == "IFC4X3"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_spf_stream(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()

@@ -52,12 +52,21 @@ def fmt_round(c: Column, nearest: float) -> Column:
     return F.when(n.isNotNull(), as_text(scaled.cast("double"))).otherwise(c.cast("string"))
 
 
-def fmt_number(c: Column, decimal: str = ".", thousands: str = ",") -> Column:
-    """Thousands grouping with the given signs; decimals as the value has them, two at most."""
-    n = to_double(c.cast("string"))
-    text = F.regexp_replace(F.format_number(n, 2), "\\.?0+$", "")
-    text = F.when(n == F.floor(n), F.format_number(n, 0)).otherwise(text)
-    return F.replace(F.replace(F.translate(text, ",.", "\x01\x02"), F.lit("\x01"), F.lit(thousands)), F.lit("\x02"), F.lit(decimal))
+def fmt_number(c: Column, decimal: str = "", thousands: str = "") -> Column:
+    """All decimals the value has; grouped by commas, or by ``thousands``; with a ``decimal`` sign alone there are no groups.
+
+    Text that is no number gives null.
+    """
+    t = F.trim(c.cast("string"))
+    n = to_double(t)
+    real = n.cast("string")
+    real = F.when(real.contains("E"), F.regexp_replace(F.coalesce(n.try_cast("decimal(38,12)").cast("string"), real), "(\\.\\d+?)0+$", "$1")).otherwise(real)
+    plain = F.when(n.isNull(), None).when(t.rlike("[.eE]"), real).otherwise(t)
+    if decimal and not thousands:
+        return F.replace(plain, F.lit("."), F.lit(decimal))
+    whole, rest = F.regexp_extract(plain, "^([^.]*)", 1), F.regexp_extract(plain, "(\\..*)$", 1)
+    groups = F.regexp_replace(whole, "(\\d)(?=(?:\\d{3})+$)", "$1\x01")
+    return F.concat(F.replace(groups, F.lit("\x01"), F.lit(thousands or ",")), F.replace(rest, F.lit("."), F.lit(decimal or ".")))
 
 
 def fmt_int(c: Column) -> Column:
@@ -78,7 +87,7 @@ def imperial_text(value: float | None, precision: int = 1, input_unit: str = "fo
     sign = "-" if inches < 0 else ""
     feet, rest = divmod(abs(inches), 12) if output_unit == "foot" else (0, abs(inches))
     whole, part = divmod(rest, 1)
-    text = f"{whole} {part.numerator}/{part.denominator}" if part and whole else f"{part.numerator}/{part.denominator}" if part else f"{whole}"
+    text = f"{whole} {part.numerator}/{part.denominator}" if part else f"{whole}"
     if output_unit != "foot":
         return f'{sign}{text}"'
     if suppress_zero_inches and not rest:

@@ -132,8 +132,10 @@ class Model:
         """
         level = self.by_id(cls, key).select(F.lit(cls).alias("class"), "id", F.lit(0).alias("level"))
         out, frontier, depth = level, {cls: level}, 0
-        while frontier and (max_levels is None or depth < max_levels) and depth < 64:
+        while frontier and (max_levels is None or depth < max_levels):
             depth += 1
+            if max_levels is None and depth > len(self.classes):
+                raise ValueError("references of classes form a loop: give max_levels, or walk the instances with graph.reach")
             nxt: dict[str, DataFrame] = {}
             for c, rows in frontier.items():
                 for _, (target, column) in self.references(c).items():

@@ -36,14 +36,14 @@ def fold(instances: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return joined.select(F.col(f"i.{key}").alias(key), "keep")
 
 
-def fold_graph(instances: DataFrame, max_rounds: int = 50) -> DataFrame:
+def fold_graph(instances: DataFrame) -> DataFrame:
     """id, keep for ``instances(id, body, refs)``: instances of equal body whose references fold to the same ones.
 
     Rounds of grouping by body and mapped references until nothing moves; every round is written out. Loops of references
     end when no further pair becomes equal.
     """
     keep = materialize(instances.select("id", F.col("id").alias("keep")), "fold")
-    for _ in range(max_rounds):
+    while True:
         refs = instances.select("id", F.posexplode_outer("refs").alias("pos", "ref")).join(keep.select(F.col("id").alias("ref"), F.col("keep").alias("to")), "ref", "left")
         mapped = refs.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("to", "ref").alias("to")))), lambda x: x["to"]).alias("mapped"))
         now = instances.select("id", "body").join(mapped, "id").withColumn("h", F.sha2(F.to_json(F.struct("body", "mapped")), 256))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trussflow.session import materialize
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (least node of its component), for the ends of undirected edges; null ends are ignored.
 
     Least labels spread along edges and along the labels themselves (pointer jumping), so long chains take a logarithmic
@@ -17,7 +17,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
     e = materialize(e.union(e.select("b", "a")).distinct(), "edges")
     labels = materialize(e.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
-    for _ in range(max_rounds):
+    while True:
         spread = e.join(labels, e.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         near = labels.join(spread, "node").select("node", "component", F.least("component", "near").alias("near"))
         hop = labels.select(F.col("node").alias("near"), F.col("component").alias("far"))

@@ -29,7 +29,7 @@ def latest_nodes(wbs: DataFrame) -> DataFrame:
     """id, code, parent: the latest state of each entry."""
     state = F.max(F.struct("updated_at", "sequence_number", "code", "parent_object_id", "name", "model_key"))
     s = wbs.where("object_id is not null").groupBy(F.col("object_id").alias("id")).agg(state.alias("s"))
-    parent = F.regexp_extract(F.coalesce(strip(F.col("s.parent_object_id")), F.lit("")), "^#?\\+?(\\d{1,18})(?:\\.0*)?$", 1).try_cast("bigint")
+    parent = F.regexp_extract(F.coalesce(strip(F.col("s.parent_object_id")), F.lit("")), "^#?\\+?(\\d{1,19})(?:\\.0*)?$", 1).try_cast("bigint")
     return s.select("id", F.coalesce(strip(F.col("s.code")), F.lit("")).alias("code"), parent.alias("parent"))
 
 

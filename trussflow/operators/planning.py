@@ -103,12 +103,13 @@ def total_quantity(df: DataFrame, group: str, quantity: str) -> DataFrame:
     return df.groupBy(group).agg(F.sum(F.col(quantity).cast("decimal(28,6)")).cast("double").alias("quantity"))
 
 
-def parse_csv_hierarchy(rows: DataFrame, index: str, order: str, document: str | None = None, levels: int = 64) -> DataFrame:
+def parse_csv_hierarchy(rows: DataFrame, index: str, order: str, document: str | None = None) -> DataFrame:
     """Parent of each row of indented tables: the last row before it, in its document, that is one level up.
 
     One window per document carries the last row of every level along; documents are files that people edit, so each fits a
-    task, and many are spread over all tasks. Levels beyond ``levels`` have no parent.
+    task, and many are spread over all tasks. The levels carried are those that occur.
     """
+    levels = int(rows.agg(F.max(index)).first()[0] or 0) + 1
     key = F.lit(1) if document is None else F.col(document)
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     last = F.array(*[F.last(F.when(F.col(index) == k, F.col(order)), ignorenulls=True).over(w) for k in range(levels)])

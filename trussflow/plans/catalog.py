@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from trussflow.model import test_model
 from trussflow.operators import audit, compare, hierarchy, planning, report, rules, spatial
 from trussflow.plans import express
 from trussflow.plans.selector import Selector
-from trussflow.session import global_rank, table
+from trussflow.session import global_rank, shared_dir, table
 from trussflow.sources import spf
 from trussflow.streaming import stream
 
@@ -81,6 +82,7 @@ _select("facet_location", "Customer, location=ASIA", f"{_C} JOIN nation ON n_nat
 _select("facet_location_deep", "Lineitem, location=NATION_3", f"{_L} JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_name = 'NATION_3'")
 _select("facet_parent", "Order, parent=NATION_3", f"{_O} JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_name = 'NATION_3'")
 _select("facet_parent_neq", "Order, parent!=NATION_3", f"{_O} JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_name <> 'NATION_3'")
+_select("facet_parent_self", "Place, parent=NATION_3", "SELECT 'Nation' AS class, n_nationkey AS id, n_name AS name FROM nation WHERE n_name = 'NATION_3' AND (EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey) OR EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey))")
 _select("facet_query_path", 'Customer, query:"nation.region.Name"=ASIA', f"{_C} JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA'")
 _select("facet_query_count", 'Order, query:"lines.count">6', f"{_O} WHERE (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) > 6")
 _select("facet_query_list", 'Order, query:"lines.part.Brand"=/.*#17/', f"{_O} WHERE EXISTS (SELECT 1 FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey = o_orderkey AND regexp_matches(p_brand, '^(?:.*#17)'))")
@@ -137,6 +139,12 @@ def path_count(spark, d):
     return Selector(test_model(spark, d)).path("Order", "lines.count")
 
 
+@query("""WITH n AS (SELECT p_partkey AS id, CAST(round_even(p_size * 8 / 7.0, 0) AS BIGINT) AS e FROM part), p AS (SELECT id, e // 96 AS feet, (e % 96) // 8 AS whole, e % 8 AS r, gcd(e % 8, 8) AS g FROM n)
+SELECT id, feet || chr(39) || CASE WHEN whole = 0 AND r = 0 THEN '' ELSE ' - ' || whole || CASE WHEN r = 0 THEN '' ELSE ' ' || (r // g) || '/' || (8 // g) END || chr(34) END AS text FROM p""")
+def fmt_imperial_eighths(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), fmt.fmt_imperial_length(F.col("p_size") / 84, 8).alias("text"))
+
+
 @query("SELECT o_orderkey AS id, string_agg(DISTINCT p_brand, ', ' ORDER BY p_brand) AS brands FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1")
 def path_list_flatten(spark, d):
     return Selector(test_model(spark, d)).path("Order", "lines.part.Brand").select("id", F.array_join("value", ", ").alias("brands"))
@@ -246,10 +254,10 @@ def join_inverse(spark, d):
     return c.join(o, c.c_custkey == o.o_custkey, "left").select(F.col("c_custkey").alias("id"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("SELECT p_partkey AS id, l_quantity AS x FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_linenumber = 7 WHERE p_partkey IN (1, 2, 3, 5, 8)")
+@query("SELECT p_partkey AS id, l_quantity AS x FROM part LEFT JOIN lineitem ON l_partkey = p_partkey")
 def join_shape_geometry(spark, d):
-    p = table(spark, d, "part").where(F.col("p_partkey").isin(1, 2, 3, 5, 8))
-    g = table(spark, d, "lineitem").where("l_linenumber = 7").select("l_partkey", F.col("l_quantity").alias("x"))
+    p = table(spark, d, "part")
+    g = table(spark, d, "lineitem").select("l_partkey", F.col("l_quantity").alias("x"))
     return p.join(g, p.p_partkey == g.l_partkey, "left").select(F.col("p_partkey").alias("id"), "x")
 
 
@@ -319,13 +327,13 @@ def join_merge_models(spark, d):
 
 def _boxes(spark, d, kind: str) -> DataFrame:
     """Boxes from line items: x from the part, y from the supplier, z from the quantity."""
-    li = table(spark, d, "lineitem").where(f"l_returnflag = '{kind}' and l_linenumber = 1")
+    li = table(spark, d, "lineitem").where(f"l_returnflag = '{kind}'")
     x, y, z = F.col("l_partkey").cast("double"), F.col("l_suppkey").cast("double"), F.col("l_quantity")
-    return li.select(F.col("l_orderkey").alias("id"), x.alias("minx"), (x + 3).alias("maxx"), y.alias("miny"), (y + 2).alias("maxy"), z.alias("minz"), (z + 2).alias("maxz"))
+    return li.select((F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("id"), x.alias("minx"), (x + 3).alias("maxx"), y.alias("miny"), (y + 2).alias("maxy"), z.alias("minz"), (z + 2).alias("maxz"))
 
 
 def _box_sql(kind: str) -> str:
-    return f"(SELECT l_orderkey AS id, CAST(l_partkey AS DOUBLE) AS minx, l_partkey + 3.0 AS maxx, CAST(l_suppkey AS DOUBLE) AS miny, l_suppkey + 2.0 AS maxy, l_quantity AS minz, l_quantity + 2 AS maxz FROM lineitem WHERE l_returnflag = '{kind}' AND l_linenumber = 1)"
+    return f"(SELECT l_orderkey * 16 + l_linenumber AS id, CAST(l_partkey AS DOUBLE) AS minx, l_partkey + 3.0 AS maxx, CAST(l_suppkey AS DOUBLE) AS miny, l_suppkey + 2.0 AS maxy, l_quantity AS minz, l_quantity + 2 AS maxz FROM lineitem WHERE l_returnflag = '{kind}')"
 
 
 _MEET = " AND ".join(f"a.min{x} <= b.max{x} + {{0}} AND b.min{x} <= a.max{x} + {{0}}" for x in "xyz")
@@ -550,14 +558,8 @@ def sql_projection_star(spark, d):
     return report.star(table(spark, d, "part"), "p_partkey", {"Pset_Part": {"Size": "p_size", "Brand": "p_brand"}})
 
 
-@query("SELECT o_orderkey AS id, a AS day, b AS flag FROM (SELECT * FROM orders WHERE o_orderkey < 200), (SELECT unnest([1, 2, 3]) AS a), (SELECT unnest(['x', 'y']) AS b)")
-def sink_sql_expand(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey < 200").select(F.col("o_orderkey").alias("id"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("day"), F.array(F.lit("x"), F.lit("y")).alias("flag"))
-    return report.expand_lists(o, ["day", "flag"])
-
-
 @query("SELECT o_orderkey AS id, a AS day, b AS flag FROM orders, (SELECT unnest([1, 2, 3]) AS a), (SELECT unnest(['x', 'y']) AS b)")
-def sink_sql_expand_all(spark, d):
+def sink_sql_expand(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("day"), F.array(F.lit("x"), F.lit("y")).alias("flag"))
     return report.expand_lists(o, ["day", "flag"])
 
@@ -581,6 +583,8 @@ _format("fmt_div", "part", "p_partkey", "{{p_size}} / 4", "regexp_replace(CAST(p
 _format("fmt_int", "customer", "c_custkey", "int({{c_acctbal}})", "CAST(trunc(c_acctbal) AS BIGINT)")
 _format("fmt_round", "part", "p_partkey", "round({{p_size}}, 5)", "CAST(CAST(round_even(p_size / 5.0, 0) * 5 AS INT) AS VARCHAR)")
 _format("fmt_number", "orders", "o_orderkey", 'number({{o_custkey}}, ",", ".")', "replace(format('{:,}', o_custkey), ',', '.')")
+_format("fmt_number_decimals", "customer", "c_custkey", "number({{c_acctbal}})", "CASE WHEN c_acctbal < 0 AND c_acctbal > -1 THEN '-' ELSE '' END || format('{:,}', CAST(trunc(c_acctbal) AS BIGINT)) || regexp_extract(CAST(c_acctbal AS VARCHAR), '\\.\\d+$')")
+_format("fmt_number_comma", "customer", "c_custkey", 'number({{c_acctbal}}, ",")', "replace(CAST(c_acctbal AS VARCHAR), '.', ',')")
 _format("fmt_substr", "customer", "c_custkey", "substr({{c_name}}, 2, -1)", "substring(c_name, 3, length(c_name) - 3)")
 _format("fmt_title", "customer", "c_custkey", "title({{c_mktsegment}})", "upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2))")
 _format("fmt_metric", "part", "p_partkey", "metric_length({{p_size}}, 5, 2)", "format('{:.2f}', round_even(p_size / 5.0, 0) * 5)")
@@ -600,16 +604,9 @@ def fmt_sort_join(spark, d):
 # ---------------------------------------------------------------- dates, units, places, ids
 
 
-@query("SELECT o_orderkey AS id, CAST((SELECT count(*) FROM generate_series(CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INT), INTERVAL 1 DAY) t(x) WHERE isodow(x) <= 5) AS INT) AS days FROM orders WHERE o_orderkey <= 4000")
-def working_days(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey <= 4000")
-    start = F.to_date("o_orderdate")
-    return o.select(F.col("o_orderkey").alias("id"), planning.working_days(start, F.date_add(start, (F.col("o_orderkey") % 40).cast("int"))).alias("days"))
-
-
 @query("""WITH s AS (SELECT o_orderkey AS id, isodow(o_orderdate) AS dow, o_orderkey % 40 + 1 AS n FROM orders)
 SELECT id, CAST(n // 7 * 5 + len(list_filter(range(CAST(n % 7 AS BIGINT)), lambda i: (dow - 1 + i) % 7 < 5)) AS INT) AS days FROM s""")
-def working_days_all(spark, d):
+def working_days(spark, d):
     start = F.to_date("o_orderdate")
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), planning.working_days(start, F.date_add(start, (F.col("o_orderkey") % 40).cast("int"))).alias("days"))
 
@@ -801,14 +798,25 @@ def _records(spark, d) -> DataFrame:
 
 @query("SELECT c_custkey + 1000 AS id, c_name AS name, CAST(c_nationkey + 1 AS BIGINT) AS nation, c_mktsegment AS segment FROM customer")
 def scan_spf(spark, d):
-    """Records written as text and parsed again."""
-    t = spf.parse_lines(spf.record_text(_records(spark, d))).where("class = 'IFCCUSTOMER'")
+    """A file is written and read back."""
+    t = _spf_file(spark, d).where("class = 'IFCCUSTOMER'")
     return t.select("id", spf.argument(0).alias("name"), F.get("refs", F.lit(0)).alias("nation"), spf.argument(3).alias("segment"))
 
 
+def _spf_file(spark, d, bypass=()):
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    spf.write_spf(_records(spark, d), path)
+    return spf.read_spf(spark, path, bypass)
+
+
+@query("SELECT c_custkey + 1000 AS id, 'IFCCUSTOMER' AS class FROM customer")
+def scan_bypass(spark, d):
+    return _spf_file(spark, d, ["IfcNation"]).select("id", "class")
+
+
 @query("SELECT c_custkey + 1000 AS src, CAST(c_nationkey + 1 AS BIGINT) AS dst FROM customer")
 def scan_stream_offsets(spark, d):
-    return spf.edges(spf.parse_lines(spf.record_text(_records(spark, d)))).select("src", "dst")
+    return spf.edges(_spf_file(spark, d)).select("src", "dst")
 
 
 @query("SELECT CAST(n_nationkey + 1 AS BIGINT) AS id, '#' || (n_nationkey + 1) || '=IFCNATION(''' || n_name || ''');' AS value FROM nation")

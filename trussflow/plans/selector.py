@@ -202,10 +202,17 @@ class Selector:
             return rows.where(not_(test) if f.op.startswith("!") else test)
         if key in ("location", "parent"):
             joined, up = m.ancestor_join(rows, cls)
-            if not up:
+            if not up and not (key == "parent" and m.children(cls)):
                 return rows.where(F.lit(f.op.startswith("!")))
             tests = [f.value.test(F.col(n), f.op.lstrip("!") or "=", "string") for _, _, n in up]
-            test = reduce(lambda a, b: a | b, tests)
+            if key == "parent":  # a parent that matches counts with what is below it
+                own = rows.where(F.coalesce(f.value.test(F.col("name"), f.op.lstrip("!") or "=", "string"), F.lit(False))).select("id")
+                kids = [m.rows(n).select(F.col(column).cast("bigint").alias("id")) for n, column in m.children(cls)]
+                if kids:
+                    matched = own.join(reduce(DataFrame.unionByName, kids), "id", "left_semi").select(F.col("id").alias("_self"))
+                    joined = joined.join(matched, F.col("id") == F.col("_self"), "left")
+                    tests.append(F.col("_self").isNotNull())
+            test = reduce(lambda a, b: a | b, tests, F.lit(False))
             return joined.where(not_(test) if f.op.startswith("!") else test).select(*columns)
         if _PROPERTY.match(key):
             pset, prop = _PROPERTY.match(key).groups()

@@ -69,6 +69,10 @@ def read_ids(text: str, class_column: str = "class", columns: dict[str, str] | N
             continue
         app, req = s.find("{*}applicability"), s.find("{*}requirements")
         applies = F.lit(True)
+        for part, known in ((app, {"entity", "attribute"}), (req, {"attribute"})):
+            other = {x.tag.rsplit("}", 1)[-1] for x in (part if part is not None else ())} - known
+            if other:  # an audit must not pass what it does not check
+                raise ValueError(f"facets not read: {', '.join(sorted(other))}")
         for e in app.findall("{*}entity"):
             applies = applies & (F.upper(class_column) == (_text(e.find("{*}name")) or "").upper())
         for a in app.findall("{*}attribute"):

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trussflow.session import shared_dir
-from trussflow.sources.spf import parse_lines
+from trussflow.sources.spf import _without, parse_lines, split_records
 
 
 def read_instances(spark: SparkSession, folder: str, bypass: list[str] = (), files_per_trigger: int = 8) -> DataFrame:
-    """Streaming instances of the files that arrive in a folder."""
-    lines = spark.readStream.option("lineSep", ";\n").option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    if bypass:
-        lines = lines.where(~F.upper(F.regexp_extract("value", "^\\s*#\\d+\\s*=\\s*([A-Za-z0-9_]+)", 1)).isin([b.upper() for b in bypass]))
-    return parse_lines(lines)
+    """Streaming instances of the files that arrive in a folder; a file arrives whole and is split into records by one task."""
+    files = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("maxFilesPerTrigger", files_per_trigger).load(folder)
+
+    def run(batches):
+        for pdf in batches:
+            for content in pdf["content"]:
+                yield pd.DataFrame({"value": split_records(content.decode("utf-8", "replace"))})
+
+    return parse_lines(_without(files.select("content").mapInPandas(run, "value string"), bypass))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
