@@ -347,13 +347,13 @@ def join_spatial_box(spark, d):
     return spatial.box_pairs(_boxes(spark, d, "R"), _boxes(spark, d, "A"), _SIZE).select("a_id", "b_id")
 
 
-@query(f"SELECT a.id AS a_id, b.id AS b_id, 'protrusion' AS type, round(-{_DEPTH}, 6) AS distance FROM {_box_sql('R')} a JOIN {_box_sql('R')} b ON a.id < b.id AND {_DEPTH} > 0.002")
+@query(f"SELECT a.id AS a_id, b.id AS b_id, 'protrusion' AS type, round(-{_DEPTH}, 6) AS distance FROM {_box_sql('R')} a JOIN {_box_sql('R')} b ON a.id < b.id AND {_MEET.format(0)} AND {_DEPTH} > 0.002")
 def join_clash_intersection(spark, d):
     a = _boxes(spark, d, "R")
     return spatial.clash(a, a, "intersection", _SIZE, same=True).withColumn("distance", F.round("distance", 6))
 
 
-@query(f"SELECT a.id AS a_id, b.id AS b_id, 'collision' AS type, round(-{_DEPTH}, 6) AS distance FROM {_box_sql('R')} a JOIN {_box_sql('A')} b ON {_DEPTH} >= 0")
+@query(f"SELECT a.id AS a_id, b.id AS b_id, 'collision' AS type, round(-{_DEPTH}, 6) AS distance FROM {_box_sql('R')} a JOIN {_box_sql('A')} b ON {_MEET.format(0)} AND {_DEPTH} >= 0")
 def join_clash_collision(spark, d):
     return spatial.clash(_boxes(spark, d, "R"), _boxes(spark, d, "A"), "collision", _SIZE).withColumn("distance", F.round("distance", 6))
 
