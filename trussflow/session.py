@@ -81,9 +81,9 @@ SMALL_BYTES = 64 << 20
 
 
 def table_bytes(df: DataFrame) -> int:
-    """Bytes of a table that was written out: rows by the width of its schema, or its files if they are larger."""
+    """Bytes of a table that was written out: rows by the width of its schema, or four times its files (arrays, long texts) if that is more."""
     j = df._jdf
-    return max(df.count() * j.schema().defaultSize(), int(str(j.queryExecution().optimizedPlan().stats().sizeInBytes())))
+    return max(df.count() * j.schema().defaultSize(), 4 * int(str(j.queryExecution().optimizedPlan().stats().sizeInBytes())))
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", small: int = SMALL_BYTES) -> DataFrame:
