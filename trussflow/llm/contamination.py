@@ -293,7 +293,7 @@ def _lists(offsets: pa.Array, values: pa.Array) -> list[list[int]]:
 def _probe(documents: DataFrame, items: DataFrame, exact: bool, columns: list[str]) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     tests = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
-    tests = materialize(probes(tests, "item_id", not exact, False).where(F.size("w") >= RUN), "items").withColumn("test", F.xxhash64("item_id", "w"))
+    tests = materialize(probes(tests, "item_id", not exact, False).where(F.size("w") >= RUN), "items").withColumn("test", F.xxhash64("item_id", "named", "w"))
     windows = tests.select("test", "item_id", "named", F.inline("seeds")).withColumnsRenamed({"pos": "item_pos", "exact": "item_exact"})
     templates = materialize(windows.select("template").distinct(), "templates")
     wanted = None
@@ -309,9 +309,9 @@ def _probe(documents: DataFrame, items: DataFrame, exact: bool, columns: list[st
         d = seeds.groupBy("probe", "test", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.count("*").alias("n"), F.bool_and(same).alias("same"), F.collect_list(F.struct("pos", "item_pos")).alias("at"))
         seeds = d.where((F.col("n") >= RUN - WINDOW + 1) & ~F.col("same")).select("probe", "test", F.inline("at"))
     pairs = seeds.groupBy("probe", "test").agg(F.collect_list(F.struct("pos", "item_pos")).alias("at"))
-    # The words of an item are sent once to each pair of few, those of a document do not move.
-    pairs = pairs.join(tests.select("test", "item_id", F.col("w").alias("item_w"), F.col("s").alias("item_s"), "named"), "test")
-    rows = lookup_join(read.select("probe", "named", "doc_id", "w", "s"), pairs, ["probe", "named"], "inner")
+    # Pairs come to their documents, then the words of the items to the pairs; the words of documents do not move.
+    rows = lookup_join(read.select("probe", "doc_id", "w", "s"), pairs, ["probe"], "inner")
+    rows = lookup_join(rows, tests.select("test", "item_id", F.col("w").alias("item_w"), F.col("s").alias("item_s")), ["test"], "inner")
 
     def run(batches):
         for batch in batches:
