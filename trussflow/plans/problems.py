@@ -127,6 +127,21 @@ v AS (SELECT ifc_id, name, recorded_at, loaded_at, prop_id, CASE vtype
 SELECT ifc_id, name, max_by(val, row(recorded_at, loaded_at, prop_id)) AS val FROM v WHERE val IS NOT NULL GROUP BY ifc_id, name
 """
 
+#: The wanted columns of the test data by type.
+_WANTED = {
+    "BOOLEAN": "IsExternal LoadBearing ExtendToStructure Combustible SelfClosing SmokeStop HandicapAccessible PubliclyAccessible FireExit IsExtendedWarranty",
+    "BIGINT": "OccupancyNumber NumberOfRiser NumberOfTreads ServiceLifeYears MeanTimeBetweenFailure CrewCount",
+    "DOUBLE": "ThermalTransmittance GlazingAreaFraction PitchAngle GrossPlannedArea RiserHeight RequiredSlope PercentDone",
+    "DATE": "WarrantyStartDate WarrantyEndDate AcquisitionDate LastInspection",
+    "VARCHAR": "Reference Status FireRating AcousticRating SecurityRating FloorCovering OccupancyType WarrantyIdentifier BarCode SerialNumber AssemblyPlace Phase",
+}
+
+SQL["p4_wide"] = f"""
+WITH cells AS ({SQL["p4_found"].replace("CAST(CAST(round(x * 1000) AS BIGINT) AS VARCHAR)", "CAST(x AS VARCHAR)")})
+SELECT e.ifc_id, {", ".join(f"CAST(max(CASE WHEN name = '{n}' THEN val END) AS {t}) AS {n}" for t, names in _WANTED.items() for n in names.split())}
+FROM (SELECT DISTINCT ifc_id FROM psets WHERE ifc_id IS NOT NULL) e LEFT JOIN cells c ON c.ifc_id = e.ifc_id GROUP BY e.ifc_id
+"""
+
 _WBS = """
 WITH RECURSIVE last_ AS (SELECT object_id AS id, trim(coalesce(code, ''), ' ' || chr(9)) AS code,
         CAST(TRY_CAST(trim(parent_object_id, ' +' || chr(9)) AS DOUBLE) AS BIGINT) AS p
