@@ -58,6 +58,18 @@ def test_consistent_table_reports_failed_casts(spark):
     assert rows(drift.failed_casts(t)) == [(2, "Extra", 1), (2, "volume", 4)]
 
 
+def test_names_that_differ_in_case_only_can_be_written(spark, tmp_path):
+    """Materials in one file and materials in another are one field; X and x of one file are two columns."""
+    e = [(1, 1, "a", '{"Materials": "oak", "NAME": "p", "X": 1, "x": 2, "failed": "f", "Failed_Field": "g"}'), (2, 1, "b", '{"materials": "elm", "name": "q", "X": 3}'), (3, 1, "c", '{"MATERIALS": "ash", "": "none", "a.b": true}')]
+    t = drift.consistent_table(spark.createDataFrame(e, EXPORTS), _meta(spark, (1, "A"), (2, "A"), (3, "A")))
+    assert len({c.lower() for c in t.columns}) == len(t.columns) and [c.lower() for c in t.columns].count("materials") == 1
+    t.write.parquet(str(tmp_path / "t"))
+    got = {r["file_id"]: {k.lower(): v for k, v in r.asDict().items()} for r in spark.read.parquet(str(tmp_path / "t")).collect()}
+    assert [got[k]["materials"] for k in (1, 2, 3)] == ["oak", "elm", "ash"] and [got[k]["name"] for k in (1, 2, 3)] == ["p", "q", None]
+    assert {got[1]["x"], got[1]["x_2"]} == {1.0, 2.0} and 3.0 in (got[2]["x"], got[2]["x_2"]) and got[3]["a.b"] is True and got[3]["_field"] == "none"
+    assert {got[1][c] for c in got[1] if c.startswith("failed_field")} == {"f", "g"} and all(not r["failed"] for r in got.values())
+
+
 def test_one_shared_record_is_enough_for_a_renaming(spark):
     e = [(1, 1, "a", '{"x": 1}'), (1, 2, "b", '{"x": 1}'), (2, 1, "a", '{"y": 1, "z": 1}'), (2, 2, "b", '{"z": 2}')]
     ex, m = spark.createDataFrame(e, EXPORTS), _meta(spark, (1, "A"), (2, "A"))

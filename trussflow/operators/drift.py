@@ -111,14 +111,25 @@ def changes(exports: DataFrame, metadata: DataFrame) -> DataFrame:
     return out
 
 
+def _regardless_of_case(grouped: DataFrame, side: DataFrame) -> DataFrame:
+    """path, component: the components of ``grouped`` that hold names alike but for case are one, unless a file (``side``) has both."""
+    alike = grouped.select(F.lower("path").alias("low"), "component").distinct()
+    edges = alike.withColumnRenamed("component", "a").join(alike.withColumnRenamed("component", "b"), "low").where("a < b").select("a", "b").distinct()
+    held = side.join(grouped, "path").select("file_id", "component").distinct()
+    together = held.withColumnRenamed("component", "a").join(edges, "a").join(held.withColumnRenamed("component", "b"), ["file_id", "b"]).select("a", "b").distinct()
+    merged = components(edges.join(together, ["a", "b"], "left_anti")).select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    return grouped.join(merged, "component", "left").select("path", F.coalesce("_to", "component").alias("component"))
+
+
 def field_names(change_rows: DataFrame, stats: DataFrame) -> DataFrame:
     """path, target, type: the column of the consistent table that every path goes to.
 
     Names tied by renamings in any series form one field (connected components of names); every renaming that is reported
     counts, for the file and the field it was found in. A field takes the name in TARGETS that it holds, else the one of its
     names with the most values. Its type is the one most of its values have over all files: numbers are double (bigint for
-    those of TARGETS), truth values boolean, all others text. A name that some file renames and another keeps beside its new
-    name would tie two fields of one record; such ties, which the statistics show, are left out.
+    those of TARGETS), truth values boolean, all others text. Names that differ in letter case only form one field too, as
+    columns know no case. A name that some file renames and another keeps beside its new name would tie two fields of one
+    record; such ties, which the statistics show, are left out, so two fields may still have targets that differ in case only.
     """
     spark = change_rows.sparkSession
     edges = change_rows.where("change_kind = 'renamed'").select(F.col("old_name").alias("a"), F.col("new_name").alias("b"), "matches").groupBy("a", "b").agg(F.sum("matches").alias("n"))
@@ -127,10 +138,13 @@ def field_names(change_rows: DataFrame, stats: DataFrame) -> DataFrame:
     edges = edges.join(together, ["a", "b"], "left_anti").select("a", "b")
     groups = components(edges).select(F.col("node").alias("path"), "component")
     known = spark.createDataFrame([(p, t, kind) for t, (kind, names) in TARGETS.items() for p in names], "path string, target string, fixed string")
-    kinds = stats.groupBy("path", "kind").agg(F.sum("values").alias("n"))
-    named = kinds.join(groups, "path", "left").withColumn("component", F.coalesce("component", "path")).join(known, "path", "left")
-    per = named.groupBy("component", "path").agg(F.sum("n").alias("n"), F.min("target").alias("target"), F.min("fixed").alias("fixed"))
-    field = per.groupBy("component").agg(F.coalesce(F.min("target"), F.max_by("path", F.struct("n", "path"))).alias("target"), F.min("fixed").alias("fixed"))
+    grouped = side.select("path").union(known.select("path")).distinct().join(groups, "path", "left").withColumn("component", F.coalesce("component", "path"))
+    grouped = materialize(grouped, "grouped")
+    groups = materialize(_regardless_of_case(grouped, side), "groups")
+    named = stats.groupBy("path", "kind").agg(F.sum("values").alias("n")).join(groups, "path")
+    wanted = known.join(groups, "path").groupBy("component").agg(F.min_by("target", "path").alias("target"), F.min_by("fixed", "path").alias("fixed"))
+    per = named.groupBy("component", "path").agg(F.sum("n").alias("n"))
+    field = per.groupBy("component").agg(F.max_by("path", F.struct("n", "path")).alias("most")).join(wanted, "component", "left").select("component", F.coalesce("target", "most").alias("target"), "fixed")
     main = named.groupBy("component", "kind").agg(F.sum("n").alias("n")).where("kind in ('number', 'boolean', 'string')").groupBy("component").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"))
     typed = F.coalesce("fixed", F.when(F.col("kind") == "number", "double").when(F.col("kind") == "boolean", "boolean").otherwise("string"))
     field = field.join(main, "component", "left").select("component", "target", typed.alias("type"))
@@ -148,15 +162,25 @@ def _goes_to(target: str):
     return lambda c: c["target"] == target
 
 
-def _column(name: str, taken: list[str]) -> str:
-    return f"{name}_field" if name.lower() in taken else name
+def _columns(names: list[str], taken: list[str]) -> dict[str, str]:
+    """The column of each field, unlike all others and those ``taken`` without regard to case: ``_field``, then ``_2`` and so on is added."""
+    used, out = {t.lower() for t in taken}, {}
+    for name in sorted(names, key=lambda n: n not in TARGETS):  # the names of TARGETS stay as they are
+        base = f"{name}_field" if not name or name.lower() in taken else name
+        column, n = base, 1
+        while column.lower() in used:
+            n += 1
+            column = f"{base}_{n}"
+        used.add(column.lower())
+        out[name] = column
+    return out
 
 
 def consistent_table(exports: DataFrame, metadata: DataFrame) -> DataFrame:
     """One typed row per record of every file, whatever its layout, with the casts that failed.
 
     Columns: file_id, rec_no, global_id, schema_key, one typed column for each field (TARGETS first, then every other field
-    met; the number of fields is that of the schema), and failed: the fields with the raw value that their type does
+    met; the number of fields is that of the schema; a name already in use without regard to case gets a suffix), and failed: the fields with the raw value that their type does
     not hold (an object without value, a longer array, an unreadable text). A record repeated exactly appears once; two
     spellings of one field in one record keep the greater text, and the other is listed in ``failed`` under its own name.
     """
@@ -171,14 +195,14 @@ def consistent_table(exports: DataFrame, metadata: DataFrame) -> DataFrame:
     key = ["file_id", "rec_no", "global_id", "_version"]
     wide = cells.groupBy(*key).agg(F.collect_list(F.when(F.col("path").isNotNull(), F.struct("target", "text", "raw", "path"))).alias("cells"))
     wide = wide.withColumn("_cells", F.sort_array("cells", False))
-    taken = ["file_id", "rec_no", "global_id", "schema_key", "failed"]
+    columns = _columns(list(fields), ["file_id", "rec_no", "global_id", "schema_key", "failed"])
     exprs, failed = [], []
     for t, kind in fields.items():
         mine = F.filter("_cells", _goes_to(t))
         first = F.get(mine, F.lit(0))
         text = F.regexp_replace(first["text"], "^#", "") if kind == "bigint" else first["text"]
         value = text if kind == "string" else text.try_cast(kind)
-        exprs.append(value.alias(_column(t, taken)))
+        exprs.append(value.alias(columns[t]))
         failed.append(F.when(first["raw"].isNotNull() & value.isNull(), F.array(F.struct(F.lit(t).alias("field"), first["raw"].alias("raw")))))
         failed.append(F.transform(F.slice(mine, 2, F.greatest(F.size(mine) - 1, F.lit(0))), lambda c: F.struct(c["path"].alias("field"), c["raw"].alias("raw"))))
     lost = F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<struct<field:string,raw:string>>")) for x in failed]))
