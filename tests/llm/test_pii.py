@@ -58,3 +58,32 @@ def test_spans_of_long_texts_are_not_cut():
         want = [text.index(line) + k * len(line) + line.index(s) for k in range(400) for s in ("+44", "anna.")]
         assert [a for a, _, _ in tagger.spans([text])[0]] == want
         assert {text[a:b] for a, b, _ in tagger.spans([text])[0]} == {"+44 20 7946 0123", "anna.vandermeer@corvale.test"}
+
+
+def test_edges_of_names_and_emails():
+    """Words that open a sentence, letters of grid lines, compounds with a letter and streets are no names; plain emails are whole."""
+    tagger = pii.Tagger(*pii.train())
+    plain = [
+        "If a skylight frame has no drip edge, order one.", "Der K-Wert für Kellerdecke fehlt, der U-Wert auch.", "Some lintels next to grid G. It leaks there again.",
+        "Bitte den U-Wert der Fassade nachtragen.", "Jeudi, le relevé du parking sera repris.", "A pre-cut batch of the trim came late.", "upload@7 worker-31 failed after 12 s",
+    ]
+    assert [t for t, s in zip(plain, tagger.spans(plain)) if s] == []
+    texts = {
+        "Copy ruth.okafor+plans@harbourgroup.example; omar.said+west@harbourgroup.example please": [("email", "ruth.okafor+plans@harbourgroup.example"), ("email", "omar.said+west@harbourgroup.example")],
+        "Die Rampe ist fertig.\nGruß, Sabine": [("name", "Sabine")],
+        "Ring the bell and wait for Mrs. Okafor. Windows stay shut.": [("name", "Okafor")],
+        "steuerliche Identifikationsnummer: 47036892816": [("id_number", "47036892816")],
+    }
+    assert {t: [(k, t[a:b]) for a, b, k in s] for t, s in zip(texts, tagger.spans(list(texts)))} == texts
+
+
+def test_form_checks_of_spans():
+    def kept(text, span, kind):
+        a = text.index(span)
+        ok = pii._checked(text, a, a + len(span), kind)
+        return ok and text[slice(*ok)]
+
+    assert kept("Thanks.\nGruß, Anna Hill", "Gruß, Anna Hill", "name") == "Anna Hill" and kept("paid by Anna Hill If so", "Anna Hill If", "name") == "Anna Hill"
+    assert kept("near grid G. Found it", "G. Found", "name") is None and kept("asked G. Holt", "G. Holt", "name") == "G. Holt" and kept("+ IfcWall]", "+ IfcWall", "name") is None
+    assert kept("12. 0161 496 0543 rings", "12. 0161 496 0543", "phone") == "0161 496 0543" and kept("build@38 ran", "build@38", "email") is None
+    assert kept("Raum 12, Breite 3,2 m.", "Raum 12, Breite 3,2", "address") is None and kept("Am Tor 3, 12345 Lindau", "Am Tor 3, 12345 Lindau", "address") == "Am Tor 3, 12345 Lindau"

@@ -338,6 +338,39 @@ the {role0}, {name}, {did} {things}
 {bye}, {given}\n{Cap} {low} {things}
 {low} {name} {low} {n} {things}
 {role} {low}: {name}; {address}; {phone}
+{thing0} to {address} and {low} for {name}.
+{beside} {address}. {Start} {low} {things}
+{low} {low} to {address}. {Start} {low}
+{low}={address} {Start} {low} the {obj}
+{low}={name};{low}={phone};{low}.{low}={address}
+{low}({low},$,('{address}'),$,$);
+{name}; {address}; {phone}
+{phone} {low} {low} the {low} {role0}.
+{phone} {low} to the {obj}
+{low} {phone}, {low} {email}.
+{role} {phone}, {low} {email}
+CC {email}; {email}
+{low} {email}; {email}; {email}
+{role} <{email}> {did} the {obj}
+{low} {low} {low} {idl} {idn}. {Start} {low}
+{low} {low} {low} of {idl} {idn} in the {low}
+{role}: {name}, {idl} {idn}, {low} {when}.
+{name} ({idl} {idn}) {did} {n} {things}
+{name} and {name} {did} {len} at the {obj}
+{name} and {title}{name} {did} the {obj}
+{role}: {name}, {title}{name} and the {role0}.
+{role}: {title}{name}; {address}; {phone}; {email}
+{low} {low} by {title}{name} and {low} {things}
+{title}{name} and {name} {did} the {obj}
+As {name} {low}, the {obj} {low}
+{Start} {low} {name} {low} the {obj}
+('{name}','{firm}','{town}')
+{low} {low} {low} {name}, {address}. {Start} {low}
+{Cap}={phone};{Cap}_{Cap0}.{Cap}={address}
+{Cap}={address}\n{Start} {low}
+{low} {low} {low} to {address}.\n{Things} {low}
+{low} {low} for {title}{name}. {Cap} {low} {n} {things}
+{role}: {name}, {name} and the {role0}. {Start} {low}
 """,
     "de": """
 {name} hat {Ding} {hat}.
@@ -363,6 +396,27 @@ the {role0}, {name}, {did} {things}
 {role}: {address}, {phone}
 {beside} {phone} oder {email}
 {name}: {Ding} {hat}
+{Noun} bei {name}, {address}.
+{Noun} bei {titlef}{name} {when}
+{Noun} von {n} {Dinge} an {address}.
+{Noun} an {address}. {Start} {low}
+{Ding} {low} {low} {address}.
+{Noun}: {address}
+{bye}, {given}\n{Start} {low} {Ding}
+{bye}, {given} {Start} {Noun} {low}
+{phone} {low} zur {Noun}, {low} {Ding}
+{phone} {low} {low} {Noun}
+{low} {low} {phone} oder <{email}>
+{idl}: {idn}, {Noun} {name}
+{idl} {idn}. {Start} {low}
+{role} {titlef}{name}, {idl} {idn}, {low}
+{name} und {titlef}{name} haben {len} {hat}
+{beside} {name} ist {Ding} {hat}.
+{name} {low} {Dinge} an {Noun} {X}
+{name} {low} {Ding} {when}
+{role} {name} {Noun} der {Noun} {low}
+{Start} {Noun} {low} {low} {address}. {Start} {Noun}
+{Noun} bei {titlef}{name}, {address}. {Dinge} {low}
 """,
     "fr": """
 {name} a {hat} {chose}.
@@ -387,6 +441,22 @@ the {role0}, {name}, {did} {things}
 {role} : {address}, {phone}
 {beside} {phone} ou {email}
 {name} : {chose} {hat}
+{Cap} de {name}, {idl} {idn}
+{Cap} de {titlef}{name} {when}
+{idl} {idn}. {Start} {low}
+{Cap} {titlef}{name} au {phone}.
+{low} {titlef}{name} au {phone}
+{choses} {low} chez {titlef}{name}, {address}.
+{chose} {low} {low} au {address}.
+{Cap} de {n} {choses} au {address}
+{low} {chose} à {email} {when}
+{titlef}{name} {low} {choses} {low} {X}
+{name} {low} {choses} {when}
+{name} et {titlef}{name} ont {hat} {len}
+{beside} {name}, {chose} {low} {hat}
+{Start} {low} {low} au {address}. {Cap} {low} {len}
+{Start} {low} {low} chez {name}, {address}. {Cap} {low}
+{role} {titlef}{name} au {phone}. {Start} {low}
 """,
 }
 
@@ -446,6 +516,38 @@ May {verb} the {obj} {when}.
 Mark {things} and {verb} the {obj}.
 {Cap} {low} {things} {low} {X}. {Cap}
 {Cap} {low}, {n} {low} {things} in {low} {X}. {Cap} {low}, {n}
+{Start} a {obj} {low} no {low}, {low} {things}.
+{Start} a {low} {low} {low} {low} the {obj}
+{Start} {low} the {obj}: {low} {low}
+{Start} {low} {things} {low}.
+{Start} a {low} of {code} in the {low}
+{things} {low} {low} {X}. {Start} {low} the {obj}
+{low} next to {low} {X}. {Start} {low} {low}
+{n} W/m²K. {Start} a {low}
+A {low}-{low} {low} of the {obj} {low} {n} {cls}
+A {low}-{low} {low}, {low} {things}
+{street} {low} {obj}, {low} {n}, {low}
+{street} {low} {low} {n} {things}
+{low} {low}={n} [+ {cls}], {low}="{X}{n}"
+{low} {low}='{X}-{n}' [+ {cls}]
+{Things} {low} the {low}
+{Cap} {low} {low} the {obj} {low} {n}
+{Cap} {low} on the {obj}
+{firm0} {low} item {code} at {n}
+{low}('{firm0}','{firm}',$)
+{Cap}: {low} {low}, the {tool}
+{code} {low} {low} {n} {things}
+{role} {low} {low} the {obj}
+{len} between {low} {low} and {low} {low}; the {low} {low} {len}
+{low} {low}, {low} {low} and {low} {low} {low}
+the {low} {low}; {low} {low} {low}
+{Start} {low} that the {low} {low} {low} the {low}
+{Cap} number {code}, {low} {code}
+{low} number {code}, {low} {code}. {Start} {low}
+{things} {low} grid {X}. {Cap} {low} the {obj}
+{low} zone {X}. {Cap} of {len} {low}
+{street} {low} {obj}, bay {n}
+{Cap} {things} {low} the {obj}
 """,
     "de": """
 {firm} hat {Ding} {hat}.
@@ -472,6 +574,22 @@ Zum {Noun} {low} {n} {Dinge}
 @alle {Cap} {low} {Ding}
 Auftrag {pcode}, Plan {pcode}
 {Cap} {low} {Dinge} {low} {X}. {Cap} {low}
+{letter} für {Ding} {hat}
+{Start} {letter} für {Noun} {hat}, {low} {Ding} {low}.
+{Noun} {low} den {letter}, {low} {low}
+{letter} und {letter}: {n}
+{Start} {low} {Ding} {low}
+{Start} {Noun} {low} {Dinge} {low}.
+{Noun} in Zone {X}. {Noun} an {Noun} {X}/{n} {low}
+{low} {Noun} {X}. {Start} {Noun} {low}
+{Noun} an {Noun} {X}/{n} müssen {low}
+{Noun}, {Noun}\n{low} {low}. {Start}, {low}
+{Noun} an {firm} {when}
+{Noun} der {Dinge}: im {Noun} {n}, {Noun} {len}.
+{Noun} {low} {Noun}: unter dem {Noun}, {Noun} {len}
+{Noun}: an der {Noun}, {Noun} {len}. {Start} {low}
+{Ding} neben {Noun} {n}, {Noun} {len}
+{Noun} {n}, {Noun} {len}, {Noun} {n}
 """,
     "fr": """
 {firm} a {hat} {chose}.
@@ -492,6 +610,16 @@ Merci de revoir {chose} {when}
 commande {pcode}, plan {pcode}
 {Cap} {low} {choses} {low} {X}. {Cap} {low}
 Le {low} {Cap} {low} {when}
+{Start}, {chose} {low} {low}.
+{Start} {low} {chose} {low} {when}
+{Cap} d'{low} {low} {low} {X}
+{Cap} d'{low} en {low} {n}
+{Start}'au {low} {low}, {chose} {low}
+{choses} : {low}. {Start}, {chose}
+{Cap} de {low}, {low} {n}
+{firm0} {low} {n} {choses}
+{Cap} de {Cap0} {low} {n}
+{chose} à {low} {n}, {low} {len}, {low} {X}{n}
 """,
 }
 
@@ -503,19 +631,22 @@ PLAN_WORDS = {
         "role0": "foreman|client|engineer|surveyor|planner|driver|inspector|tenant|architect|electrician|welder|editor|caller|plumber|coordinator|neighbour",
         "beside": "According to|With|For|From|By|Thanks to|After|Together with|Due to|Per|At|Near|Without|Besides|Like|Via|See|Ask|Call|About",
         "when": "today|yesterday|on Monday|in week 12|before noon|last month|again|twice|on site|after lunch|at the gate|in the office|during the walk|next year|by Friday|without notice",
+        "Start": "Nobody|Somebody|Everyone|Nothing|Suppose|Checked|If|When|While|Once|Since|Unless|Because|Although|After|Before|Until|Whenever|It|Which|What|Why|How|Every|Each|Some|No|Both|Explain|Describe|Compare|Please|Set|Put|Keep|Fixed|Found|Lost|Seen|Sent|Test|Draft|Trial|Try|Attempt|Note|New|Old|Also|Then|Now|Here|There|Monday|Tuesday|Wednesday|Thursday|Friday|March|August",
         "greet": "Hi|Hello|Dear|Good morning|Morning|Hey|Good afternoon", "bye": "Best regards|Regards|Thanks|Cheers|Best|Sincerely|Greetings|Yours|Many thanks|BR",
         "thing0": "Send it|Deliver everything|Forward this|Copy|Write|Drive|Ship the crate|Come|Return the keys|Post it",
     },
     "de": {
         "hat": "geprüft|bestellt|versetzt|gemeldet|gezählt|abgelehnt|geliefert|gestrichen|vermessen|freigegeben|entfernt|gefunden|vergessen|erklärt|ersetzt|verschoben",
-        "role": "Polier|Bauherr|Planerin|Prüfer|Fahrer|Vermieter|Elektriker|Kontakt|Name|Verantwortlich|Bearbeiter|Absender|Empfänger|Gast|Zeuge|Sachbearbeiterin|Anwesend|Vertreter",
+        "role": "Polier|Bauherr|Planerin|Prüfer|Fahrer|Vermieter|Elektriker|Kontakt|Name|Verantwortlich|Bearbeiter|Absender|Empfänger|Gast|Zeuge|Sachbearbeiterin|Anwesend|Vertreter|Inhaber|Eigentümerin|gez.|Gez.",
         "beside": "Laut|Mit|Für|Von|Bei|Nach|Über|Ohne|Durch|Siehe|Gegenüber|Wegen", "when": "heute|gestern|am Montag|nächste Woche|vor Ort|erneut|am Tor|ohne Grund|im Büro|zweimal",
-        "greet": "Hallo|Guten Tag|Lieber|Liebe|Moin|Guten Morgen", "bye": "Viele Grüße|Beste Grüße|Grüße|Freundliche Grüße|Danke|LG|MfG|Herzlich",
+        "Start": "Wenn|Falls|Da|Weil|Seit|Nach|Vor|Der|Die|Das|Ein|Eine|Kein|Jede|Danach|Dann|Hier|Dort|Diese|Dieser|Bitte|Es|Wer|Wie|Warum|Erkläre|Begründe|Nenne|Montag|Dienstag|Mittwoch|Freitag|Angenommen|Ohne|Beim|Neue|Alte",
+        "greet": "Hallo|Guten Tag|Lieber|Liebe|Moin|Guten Morgen", "bye": "Viele Grüße|Beste Grüße|Grüße|Gruß|Gruß|Schöne Grüße|Mit bestem Gruß|Freundliche Grüße|Danke|LG|MfG|Herzlich",
     },
     "fr": {
         "hat": "vérifié|commandé|déplacé|signalé|compté|refusé|livré|peint|mesuré|validé|retiré|trouvé|oublié|expliqué|remplacé|repoussé",
         "role": "Conducteur|Client|Ingénieur|Contrôleur|Chauffeur|Bailleur|Électricien|Contact|Nom|Responsable|Rédacteur|Expéditeur|Destinataire|Invité|Témoin|Présent|Absent|Gardien",
         "beside": "Selon|Avec|Pour|De|Chez|Après|Par|Sans|Voir|Face à|Contacter|Vers", "when": "aujourd'hui|hier|lundi|la semaine prochaine|sur place|encore|à l'entrée|sans raison|au bureau|deux fois",
+        "Start": "Si|Quand|Lorsque|Depuis|Après|Avant|Le|La|Les|Un|Une|Ce|Cette|Ces|Puis|Ensuite|Ici|Chaque|Il|Elle|Voir|Jusqu|Aujourd|Quoique|Merci|Lundi|Mardi|Mercredi|Jeudi|Vendredi|Samedi|Dans|Sur|Nouvelle|Pourquoi|Expliquer",
         "greet": "Bonjour|Bonsoir|Cher|Chère|Salut|Madame", "bye": "Cordialement|Bien à vous|Merci|Salutations|Amicalement|À bientôt|Sincères salutations",
     },
 }
@@ -545,9 +676,9 @@ WORDS = {
     "taxl": "tax number|tax ID|TIN|tax id:",
     "passl": "passport|passport number|passport no.|ID card|identity card no.|Passport:",
     "passfr": "le passeport|passeport n°|la carte d'identité|carte d'identité n°",
-    "steuerl": "Steuer-ID|Steueridentifikationsnummer|Steuernummer|IdNr.|Steuer-Nr.|Steuer-ID:",
+    "steuerl": "Steuer-ID|Steueridentifikationsnummer|steuerliche Identifikationsnummer|steuerliche Identifikationsnummer:|steuerliche ID:|Steuer-IdNr.|Steuernummer|IdNr.|Steuer-Nr.|Steuer-ID:",
     "ausweisl": "Personalausweis|Ausweisnummer|Reisepass|Ausweis Nr.|Passnummer|Personalausweis-Nr.",
-    "nirl": "numéro de sécurité sociale|NIR|n° de sécurité sociale|numéro INSEE|n° sécu|numéro fiscal",
+    "nirl": "numéro de sécurité sociale|NIR|n° de sécurité sociale|numéro de sécurité sociale :|numéro INSEE|n° sécu|n° de sécu|numéro fiscal",
 }
 
 #: Common given names and family names of several languages, some of which are plain words too.
@@ -625,7 +756,7 @@ def _d(r: random.Random, n: int) -> str:
 def _email(r: random.Random) -> str:
     plain = lambda s: re.sub(r"[^a-z]", "", s.lower()) or "x"
     g, f = plain(_given(r)), plain(_family(r))
-    local = r.choice([f"{g}.{f}", f"{g}_{f}", f"{g}-{f}", f"{g[0]}.{f}", f"{g}{_d(r, 2)}", g, f, f"{f}+{plain(_sounds(r, 1))}", r.choice(["info", "office", "sales", "team", "support"]) + r.choice(["", _d(r, 1)])])
+    local = r.choice([f"{g}.{f}", f"{g}_{f}", f"{g}-{f}", f"{g[0]}.{f}", f"{g}{_d(r, 2)}", g, f, f"{f}+{plain(_sounds(r, 1))}", f"{g}.{f}+{plain(_sounds(r, 1))}", f"{g[0]}{f}", f"{f}_{_d(r, 2)}", g.capitalize(), r.choice(["info", "office", "sales", "team", "support"]) + r.choice(["", _d(r, 1)])])
     host = r.choice([plain(_sounds(r, 2)), plain(_sounds(r, 2)) + "-" + r.choice(["bau", "group", "ing", "design"]), f"mail.{plain(_sounds(r, 2))}"])
     domain = host + "." + r.choice(["com", "org", "net", "de", "fr", "co.uk", "eu", "example", "test", "invalid", "info"])
     x = r.random()
@@ -681,7 +812,7 @@ def _identity(r: random.Random, kind: str) -> str:
         return r.choice([n, f"{n[:2]} {n[2:5]} {n[5:8]} {n[8:]}", f"{n[:3]}/{n[3:6]}/{n[6:]}"])
     if kind == "ausweis":
         return r.choice(upper) + "".join(r.choice("0123456789CFGHJKLMNPRTVWXYZ") if r.random() < 0.6 else _d(r, 1) for _ in range(8))
-    n = r.choice("1278") + _d(r, 14)
+    n = (r.choice("1278") if r.random() < 0.6 else _d(r, 1)) + _d(r, 14)
     return r.choice([n, f"{n[0]} {n[1:3]} {n[3:5]} {n[5:7]} {n[7:10]} {n[10:13]} {n[13:]}", f"{n[0]} {n[1:3]} {n[3:5]} {n[5:7]} {n[7:10]} {n[10:13]}"])
 
 
@@ -694,17 +825,20 @@ _WAYS = {
 
 
 def _address(r: random.Random, lang: str) -> str:
-    town = _sounds(r, r.choice([1, 2])).capitalize() + r.choice(["", "", "ford", "ham", "burg", "hausen", "ville", "mont", " am See", "-les-Bains"])
+    town = _sounds(r, r.choice([1, 2])).capitalize() + r.choice(["", "", "ford", "ham", "burg", "hausen", "ville", "mont", " am See", "-les-Bains", *{"en": [" Green", " Heath", " Cross", " Park", " Bridge"], "de": [" am Main", " im Tal"], "fr": ["-sur-Mer", "-le-Vieux"]}[lang]])
     number = f"{r.randint(1, 250)}{r.choice(['', '', '', '', 'a', ' b', 'B'])}"
     word = _sounds(r, r.choice([1, 2])).capitalize() if r.random() < 0.7 else r.choice(["Station", "Church", "Mill", "Park", "Old Mill", "High", "King's", "Long", "River"])
+    if lang == "en" and r.random() < 0.25:
+        word += r.choice([" Hill", " Park", " Mill", " Dock", " Bridge", " Field", " Wood"])
     if lang == "de":
         way = r.choice(_WAYS["de"])
-        street = r.choice([f"{word}{way}", f"{word}{way}", f"{word}er {way.capitalize()}", f"{r.choice(['Am', 'An der', 'Auf dem', 'Im', 'Zum', 'Unter den', 'Alte'])} {_sounds(r, 2).capitalize()}"])
+        street = r.choice([f"{word}{way}", f"{word}{way}", f"{word}er {way.capitalize()}", f"{r.choice(['Am', 'An der', 'Auf dem', 'Im', 'Zum', 'Unter den', 'Alte', 'Am Neuen', 'Am Alten', 'Zur Hohen', 'Am Kleinen'])} {r.choice([_sounds(r, 2).capitalize(), 'Markt', 'Bahnhof', 'Kirchplatz', 'Mühlbach', 'Wald', 'Tor', 'Brücke'])}"])
         s = f"{street} {number}" if r.random() < 0.9 else f"Postfach {_groups(r, [2, 2, 2][: r.choice([2, 3])], ' ')}"
         return s + ("" if r.random() < 0.3 else f", {_d(r, 5)} {town}")
     if lang == "fr":
         n = f"{r.randint(1, 250)}{r.choice(['', '', '', ' bis', ' ter'])}"
         of = r.choice(["de la ", "du ", "des ", "de l'", "de ", ""])
+        word += r.choice(["", "", f" {r.choice(['Blancs', 'Verts', 'Neuf', 'Haut'])}"])
         s = f"{n}{r.choice([' ', ', '])}{r.choice(_WAYS['fr'])} {of}{word}{r.choice(['', '', ' ' + _sounds(r, 1).capitalize()])}" if r.random() < 0.9 else f"{r.choice(['BP', 'B.P.', 'Boîte postale'])} {_d(r, r.choice([2, 3, 4]))}"
         return s + ("" if r.random() < 0.3 else f", {_d(r, 5)} {town}")
     s = f"{number} {word} {r.choice(_WAYS['en'])}"
@@ -755,6 +889,12 @@ def _filled(r: random.Random, key: str, lang: str, after_title: bool) -> tuple[s
         w = _sounds(r, r.choice([1, 2, 2, 3])) if r.random() < 0.5 else r.choice(WORDS[r.choice(["things", "past", "verb"] if lang == "en" else ["Dinge"] if lang == "de" else ["choses"])].split("|") + PLAN_WORDS[lang].get("hat", PLAN_WORDS["en"]["did"]).split("|"))
         w = w.split()[0]
         return (w.lower() if key == "low" else w.capitalize()), None
+    if key == "letter":
+        return f"{r.choice('ABCDEFGHIKLMNPRSTUVWXYZ')}-{r.choice(['Wert', 'Mail', 'Profil', 'Träger', 'Stück', 'Anteil', 'Achse', 'Plan', r.choice(_NOUN_A) + r.choice(_NOUN_B)])}", None
+    if key == "street":
+        return f"{_sounds(r, r.choice([1, 2])).capitalize()}{r.choice(['', '', ' Hill', ' Park', ' Mill'])} {r.choice(_WAYS['en'])}", None
+    if key == "firm0":
+        return f"{r.choice([_sounds(r, 2).capitalize(), 'Atelier', 'Studio', 'Bureau', 'Groupe'])} {r.choice([_sounds(r, 2).capitalize(), 'Glass', 'Pumps', 'Steel', 'Bau', 'Lifts', 'Timber'])}", None
     if key == "Noun":
         return r.choice(_NOUN_A) + r.choice(_NOUN_B), None
     if key == "pcode":
@@ -808,7 +948,7 @@ def languaged_rows(rows: int, seed: int = 7, part: str = "all") -> list[tuple[st
             label, number = r.choice(_IDS[tongue])
             frame = frame.replace("{idl}", f"{{{label}}}").replace("{idn}", f"{{{number}}}")
             text += r.choice(["\n", " ", "\n\n", " "]) if m else ""
-            shout = plain and r.random() < 0.06
+            shout = str.upper if plain and r.random() < 0.06 else str.title if plain and r.random() < 0.06 else None
             ahead = ""
             for key, word, other in _PART.findall(frame):
                 kind = None
@@ -821,7 +961,7 @@ def languaged_rows(rows: int, seed: int = 7, part: str = "all") -> list[tuple[st
                 else:
                     piece, ahead = other, ahead if other == " " else ""
                 if shout:
-                    piece = piece.upper()
+                    piece = shout(piece)
                 if kind:
                     spans.append((len(text), len(text) + len(piece), kind))
                 text += piece
